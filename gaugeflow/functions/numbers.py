@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def with_totals(df: DataFrame, name: str, **aggregates: Column) -> DataFrame:
+    """Add a struct of whole-table aggregates, computed once as a scalar subquery.
+
+    Held as a column so that the subquery appears once in the plan however many
+    expressions read it.
+    """
+    row = F.struct(*[a.alias(n) for n, a in aggregates.items()]).alias(name)
+    return df.withColumn(name, df.agg(row).scalar())
+
+
 def clip(value: Column, low: float, high: float) -> Column:
     """Limit to [low, high]; NULL stays NULL (least/greatest alone would drop it)."""
     return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow import fixed_values as V
-from gaugeflow.functions.numbers import holds
+from gaugeflow.functions.numbers import holds, with_totals
 from gaugeflow.functions.text import fill, iso, known, percent
 from gaugeflow.operators.ordered import KEY, SEQ, attach
 from gaugeflow.operators.stations import one_per_station
@@ -153,11 +153,11 @@ def force_demo_alerts(predictions: DataFrame, seq: str = SEQ) -> DataFrame:
     top-3 selection (ties to the smaller seq) that is joined back by seq.
     """
     tier = F.lower("risk_tier_name")
-    quiet = predictions.agg((F.count_if(tier.isin("medium", "high")) == 0).alias("q")).scalar()
+    raised = with_totals(predictions, "_all", rows=F.count_if(tier.isin("medium", "high")))
     top = predictions.orderBy(F.col("risk_score").desc_nulls_last(), F.col(seq)).limit(3).select(seq, "risk_score")
     place = F.row_number().over(Window.orderBy(F.col("risk_score").desc_nulls_last(), F.col(seq)))  # three rows
     top = top.select(F.col(seq).alias("_seq"), place.alias("_place"))
-    rows = predictions.join(F.broadcast(top), F.col(seq) == F.col("_seq"), "left").withColumn("_quiet", quiet)
+    rows = raised.join(F.broadcast(top), F.col(seq) == F.col("_seq"), "left").withColumn("_quiet", F.col("_all.rows") == 0)
     first, next_two, on = F.col("_place") == 1, F.col("_place") > 1, F.col("_quiet")
     real = {
         "real_risk_score": "risk_score", "real_risk_level": "risk_tier_name", "real_distance_to_danger": "distance_to_danger",
@@ -170,7 +170,7 @@ def force_demo_alerts(predictions: DataFrame, seq: str = SEQ) -> DataFrame:
         "risk_tier_name": F.when(on & first, "high").when(on & next_two, "medium").otherwise(F.col("risk_tier_name")),
         "demo_mode": F.coalesce(on & F.col("_place").isNotNull(), F.lit(False)),
         "alert_mode": F.when(on & first, "forced_high").when(on & next_two, "forced_medium").when(~on, "natural"),
-    }).drop("_seq", "_place", "_quiet")
+    }).drop("_seq", "_place", "_quiet", "_all")
 
 
 def cycle_statistics(predictions: DataFrame, by: str | None = None) -> DataFrame:

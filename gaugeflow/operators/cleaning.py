@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow import fixed_values as V
-from gaugeflow.functions.numbers import holds
+from gaugeflow.functions.numbers import holds, with_totals
 from gaugeflow.operators.order_stats import exact_quantiles
 from gaugeflow.operators.ordered import (
     KEY, LEVEL, SEQ, TIME, US, HotKeys, Lane, Step, numbered, per_station, previous_level, running, time_order, timed,
@@ -141,11 +141,11 @@ def normalize_units(df: DataFrame) -> DataFrame:
     present = [c for c in LEVEL_COLUMNS if c in df.columns]
     if not present:
         return df
-    largest = df.agg(F.struct(*[F.max(c).alias(c) for c in present]).alias("top")).scalar()
-    return df.withColumns({
-        c: F.when(largest[c] > V.CENTIMETRE_HINT, F.col(c) / V.CENTIMETRES_PER_METRE).otherwise(F.col(c))
+    rows = with_totals(df, "_top", **{c: F.max(c) for c in present})
+    return rows.withColumns({
+        c: F.when(F.col(f"_top.{c}") > V.CENTIMETRE_HINT, F.col(c) / V.CENTIMETRES_PER_METRE).otherwise(F.col(c))
         for c in present
-    })
+    }).drop("_top")
 
 
 def detect_outliers(df: DataFrame, column: str = LEVEL) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow import fixed_values as V
-from gaugeflow.functions.numbers import clip, gaussian, holds
+from gaugeflow.functions.numbers import clip, gaussian, holds, with_totals
 from gaugeflow.operators.order_stats import exact_quantiles, row_at_rank
 from gaugeflow.operators.ordered import KEY, SEQ, TIME, US, timed
 
@@ -81,14 +81,13 @@ def fill_features(df: DataFrame, columns: Sequence[str] = V.HYDRO_FEATURES) -> D
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Centre and scale by training rows only (population deviation; constant columns are only centred)."""
     train = F.col("split") == "train"
-    moments = df.agg(F.struct(
-        *[F.avg(F.when(train, F.col(c))).alias(f"m_{c}") for c in columns],
-        *[F.stddev_pop(F.when(train, F.col(c))).alias(f"s_{c}") for c in columns],
-    ).alias("m")).scalar()
-    return df.withColumns({
-        c: (F.col(c) - moments[f"m_{c}"]) / F.when(moments[f"s_{c}"] > 0, moments[f"s_{c}"]).otherwise(1.0)
+    moments = {f"m_{c}": F.avg(F.when(train, F.col(c))) for c in columns}
+    moments |= {f"s_{c}": F.stddev_pop(F.when(train, F.col(c))) for c in columns}
+    rows = with_totals(df, "_fit", **moments)
+    return rows.withColumns({
+        c: (F.col(c) - F.col(f"_fit.m_{c}")) / F.when(F.col(f"_fit.s_{c}") > 0, F.col(f"_fit.s_{c}")).otherwise(1.0)
         for c in columns
-    })
+    }).drop("_fit")
 
 
 def feature_noise(df: DataFrame, columns: Sequence[str], sigma: float = V.NOISE_SIGMA, seed: int = V.SEED, identity: Sequence[str] = (KEY, TIME)) -> DataFrame:
