@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,9 @@ from gaugeflow.operators.scoring import score_all
 from gaugeflow.session import use_checkpoints
 
 
+PARTITION_ROWS = 25_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """Model sizes; the defaults are the fixed values."""
@@ -63,7 +68,9 @@ def warning_classifier(s: Settings, train_rows: int):
 
 
 def tier_classifier(s: Settings):
-    return OneVsRest(classifier=_boosted(GBTClassifier, s, labelCol="risk_tier"), featuresCol="features", labelCol="risk_tier")
+    return OneVsRest(
+        classifier=_boosted(GBTClassifier, s, labelCol="risk_tier"), featuresCol="features", labelCol="risk_tier", parallelism=3
+    )
 
 
 def fit_models(
@@ -74,7 +81,8 @@ def fit_models(
     which: Sequence[str] = V.MODEL_NAMES,
 ) -> dict[str, PipelineModel]:
     """Fit on rows with split = train; each model carries its own assembling and scaling stages."""
-    use_checkpoints(labelled.sparkSession)
+    spark = labelled.sparkSession
+    use_checkpoints(spark)
     columns = [c for c in columns if c in labelled.columns]
     train = fill_features(labelled.filter(F.col("split") == "train"), columns)
     assembler = VectorAssembler(inputCols=columns, outputCol="raw_features")
@@ -89,12 +97,19 @@ def fit_models(
     prepared = scaler.transform(assembler.transform(train)).select("features", "risk_score", "warning_label", "risk_tier")
     prepared = prepared.filter(F.col("risk_score").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        rows = prepared.count()
+        # A tree costs several jobs over all partitions; partitions of a handful
+        # of rows would only add task start-up time. coalesce never shuffles.
+        sized = prepared.coalesce(max(1, min(prepared.rdd.getNumPartitions(), -(-rows // PARTITION_ROWS))))
         makers = {
             "risk_regressor": lambda: risk_regressor(settings),
-            "warning_classifier": lambda: warning_classifier(settings, prepared.count()),
+            "warning_classifier": lambda: warning_classifier(settings, rows),
             "risk_tier_classifier": lambda: tier_classifier(settings),
         }
-        return {name: PipelineModel([assembler, scaler, makers[name]().fit(prepared)]) for name in which}
+        # The three fits are independent jobs on the same cached rows.
+        with ThreadPoolExecutor(len(which)) as fits:
+            fitted = fits.map(inheritable_thread_target(spark)(lambda name: makers[name]().fit(sized)), which)
+            return {name: PipelineModel([assembler, scaler, model]) for name, model in zip(which, fitted)}
     finally:
         prepared.unpersist()
 
@@ -108,7 +123,6 @@ def evaluate(labelled: DataFrame, models: dict[str, PipelineModel]) -> dict[str,
         if name in models:
             scored = models[name].transform(scored).withColumnRenamed("prediction", column).drop("features", "raw_features", "rawPrediction")
             if name == "warning_classifier":
-                from pyspark.ml.functions import vector_to_array
                 scored = scored.withColumn("warning_p", vector_to_array("probability")[1]).drop("probability")
     scored = scored.filter(F.col("risk_score").isNotNull())
     test = scored.filter(F.col("split") == "test")
@@ -134,8 +148,11 @@ def importances(model: PipelineModel) -> dict[str, float]:
 
 
 def save_models(models: dict[str, PipelineModel], folder: str) -> None:
-    for name, model in models.items():
-        model.write().overwrite().save(f"{folder}/{name}")
+    """One folder per model, replacing what was there; the writes are independent."""
+    if not models:
+        return
+    with ThreadPoolExecutor(len(models)) as writes:
+        list(writes.map(lambda item: item[1].write().overwrite().save(f"{folder}/{item[0]}"), models.items()))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -55,11 +55,11 @@ def _(t: Tables):
     return rows.select("obs_seq", W.runoff_index(rows.columns).alias("rainfall_runoff_index"), W.runoff_index([]).alias("runoff_default"))
 
 
-@query("saturation_proxy", f"WITH {JOINED} SELECT obs_seq, rainfall_last_6h_mm / 5e0 AS saturation_default, rainfall_last_6h_mm / 8e0 AS saturation_known, 0e0 AS saturation_dry FROM rainy",
+@query("saturation_proxy", f"WITH {JOINED} SELECT obs_seq, rainfall_last_6h_mm / 5e0 AS saturation_default, rainfall_last_6h_mm / 7e0 AS saturation_known, 0e0 AS saturation_dry FROM rainy",
        ["obs", "weather"], "saturation_default saturation_known")
 def _(t: Tables):
     return _rainy(t).select(
-        "obs_seq", W.saturation_proxy().alias("saturation_default"), W.saturation_proxy(8.0).alias("saturation_known"),
+        "obs_seq", W.saturation_proxy().alias("saturation_default"), W.saturation_proxy(7.0).alias("saturation_known"),
         W.saturation_proxy(0.0).alias("saturation_dry"),
     )
 

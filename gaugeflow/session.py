@@ -31,6 +31,7 @@ def local_session(cores: int | str = "*", app: str = "gaugeflow") -> SparkSessio
         .config("spark.sql.shuffle.partitions", width)
         .config("spark.default.parallelism", width)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
