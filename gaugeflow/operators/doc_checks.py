@@ -12,11 +12,8 @@ from gaugeflow import fixed_values as V
 _NUMBERS = ("BIGINT", "DOUBLE", "BOOLEAN", "DECIMAL")
 
 
-def document_errors(
-    text: Column, metadata_keys: Sequence[str] = V.DOC_METADATA_KEYS
-) -> Column:
-    """All violations of one document, in reading order; an empty array means valid."""
-    root = F.try_parse_json(text)
+def document_errors(root: Column, metadata_keys: Sequence[str] = V.DOC_METADATA_KEYS) -> Column:
+    """All violations of one parsed document, in reading order; an empty array means valid."""
 
     def at(path: str) -> Column:
         return F.try_variant_get(root, f"$.{path}", "variant")
@@ -77,8 +74,10 @@ def document_errors(
 
 
 def check_documents(documents: DataFrame, text: str = "json", metadata_keys: Sequence[str] = V.DOC_METADATA_KEYS) -> DataFrame:
-    errors = document_errors(F.col(text), metadata_keys)
-    return documents.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0)
+    """Add errors and is_valid; the text is parsed once and every check reads the parsed value."""
+    parsed = documents.withColumn("_doc", F.try_parse_json(F.col(text)))
+    checked = parsed.withColumn("errors", document_errors(F.col("_doc"), metadata_keys)).drop("_doc")
+    return checked.withColumn("is_valid", F.size("errors") == 0)
 
 
 def check_report(checked: DataFrame) -> DataFrame:

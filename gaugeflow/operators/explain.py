@@ -23,14 +23,14 @@ def top_factors(weights: Mapping[str, float], top: int = V.TOP_FACTORS) -> Colum
     entries = F.array(*[
         F.struct(
             F.abs(F.col(f) * F.lit(w)).alias("size"), F.lit(-i).alias("tie"), F.lit(f).alias("feature"),
-            F.col(f).cast("double").alias("value"), (F.col(f) * F.lit(w)).alias("contribution"), F.lit(float(w)).alias("importance"),
+            F.col(f).cast("double").alias("value"), (F.col(f) * F.lit(w)).alias("contribution"), F.lit(round(float(w), 3)).alias("importance"),
         )
         for i, (f, w) in enumerate(weights.items())
     ])
-    best = F.slice(F.reverse(F.array_sort(entries)), 1, top)
+    best = F.slice(F.sort_array(entries, asc=False), 1, top)
     return F.transform(best, lambda e: F.struct(
         e["feature"].alias("feature"), rounded(e["value"], 3).alias("value"),
-        rounded(e["contribution"], 3).alias("contribution"), rounded(e["importance"], 3).alias("importance"),
+        rounded(e["contribution"], 3).alias("contribution"), e["importance"].alias("importance"),
     ))
 
 

@@ -87,13 +87,13 @@ def _(t: Tables):
 
 @query("alert_messages", f"WITH {ASSESSED} SELECT obs_seq, {message(chr(39) + 'Unknown Station' + chr(39))} AS alert_message FROM assessed", ["pred"])
 def _(t: Tables):
-    return A.with_messages(A.assess(t.pred)).select("obs_seq", "alert_message")
+    return A.with_messages(A.assess(t.busy("pred"))).select("obs_seq", "alert_message")
 
 
 @query("alerts_with_station", f"""WITH {ASSESSED} SELECT obs_seq, alerts.station_id, {message("station_name")} AS alert_message, station_name, river_name, state,
  '2024-01-31T00:00:00' AS alert_timestamp FROM alerts LEFT JOIN station_dim s ON alerts.station_id = s.station_id""", ["pred", "station_dim"])
 def _(t: Tables):
-    rows = A.generate_alerts(t.pred, t.station_dim, at(), name_first=True)
+    rows = A.generate_alerts(t.busy("pred"), t.station_dim, at(), name_first=True)
     return rows.select("obs_seq", "station_id", "alert_message", "station_name", "river_name", "state", "alert_timestamp")
 
 
@@ -140,7 +140,7 @@ SELECT obs_seq, p.station_id, 'Unknown Station' AS station_name, coalesce(distri
   {_percent("risk_score", 1)}, chr(10), 'Time: 2024-01-31T00:00:00Z', chr(10), 'Data Source: CWC (Govt. of India)', chr(10), 'Disclaimer: Research/Demo use only') AS message
 FROM pred p LEFT JOIN station_dim s ON p.station_id = s.station_id WHERE risk_tier_name = 'high'""", ["pred", "station_dim"], "risk_score")
 def _(t: Tables):
-    return A.high_tier_alerts(t.pred, t.station_dim, at())
+    return A.high_tier_alerts(t.busy("pred"), t.station_dim, at())
 
 
 @query("predictive_alerts", f"""WITH {HORIZONS} SELECT obs_seq, CASE WHEN risk_tier_6h = 'HIGH' OR risk_tier_24h = 'HIGH' THEN 'PREDICTIVE_FLOOD_ALERT' END AS alert_type,

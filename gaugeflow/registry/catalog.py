@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaugeflow.operators.ordered import HotKeys, find_hot
 from gaugeflow.registry.fixtures import table, view, with_views
 from gaugeflow.session import tune
+from gaugeflow.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.folder, name)
 
+    def busy(self, name: str) -> DataFrame:
+        """A view for work that is heavy per row: small inputs are shared by all cores."""
+        return spread(getattr(self, name))
+
     def given(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
 

@@ -62,7 +62,7 @@ def _(t: Tables):
 @query("contribution_ranking", f"WITH {contributions(WEIGHTS)} SELECT obs_seq, CAST(place AS INTEGER) AS place, feature, value, contribution, importance FROM best",
        ["factors"], "value contribution importance")
 def _(t: Tables):
-    rows = t.factors.select("obs_seq", F.posexplode(X.top_factors(WEIGHTS)).alias("place", "f"))
+    rows = t.busy("factors").select("obs_seq", F.posexplode(X.top_factors(WEIGHTS)).alias("place", "f"))
     return rows.select("obs_seq", (F.col("place") + 1).alias("place"), "f.*")
 
 
@@ -77,17 +77,17 @@ TIER_TEXT = """CASE risk_tier_name WHEN 'low' THEN 'Low flood risk. Normal condi
 
 @query("score_summaries", f"SELECT obs_seq, {SCORE_TEXT} AS summary FROM factors", ["factors"])
 def _(t: Tables):
-    return t.factors.select("obs_seq", X.score_summary(F.col("risk_score"), F.col("distance_to_danger"), F.col("rate_of_rise_3h")).alias("summary"))
+    return t.busy("factors").select("obs_seq", X.score_summary(F.col("risk_score"), F.col("distance_to_danger"), F.col("rate_of_rise_3h")).alias("summary"))
 
 
 @query("warning_summaries", f"SELECT obs_seq, {WARNING_TEXT} AS summary FROM factors", ["factors"])
 def _(t: Tables):
-    return t.factors.select("obs_seq", X.warning_summary(F.col("warning_probability"), F.col("rate_of_rise_3h")).alias("summary"))
+    return t.busy("factors").select("obs_seq", X.warning_summary(F.col("warning_probability"), F.col("rate_of_rise_3h")).alias("summary"))
 
 
 @query("tier_summaries", f"SELECT obs_seq, {TIER_TEXT} AS summary FROM factors", ["factors"])
 def _(t: Tables):
-    return t.factors.select("obs_seq", X.tier_summary(F.col("risk_tier_name"), F.col("distance_to_warning")).alias("summary"))
+    return t.busy("factors").select("obs_seq", X.tier_summary(F.col("risk_tier_name"), F.col("distance_to_warning")).alias("summary"))
 
 
 FACTORS = f"""coalesce(nullif(concat_ws(chr(10), CASE WHEN rate_of_rise_3h > 0.1 THEN '  • Rapid water rise: ' || {num('rate_of_rise_3h', 3)} || 'm/h' END,
@@ -101,12 +101,12 @@ ADVICE = f"""CASE WHEN risk_tier_name = 'high' OR warning_probability > 0.7 THEN
 
 @query("risk_factor_bullets", f"SELECT obs_seq, {FACTORS} AS factors FROM factors", ["factors"])
 def _(t: Tables):
-    return t.factors.select("obs_seq", X.risk_factors().alias("factors"))
+    return t.busy("factors").select("obs_seq", X.risk_factors().alias("factors"))
 
 
 @query("recommendations", f"SELECT obs_seq, {ADVICE} AS advice FROM factors", ["factors"])
 def _(t: Tables):
-    return t.factors.select("obs_seq", X.recommendation(F.col("risk_tier_name"), F.col("warning_probability")).alias("advice"))
+    return t.busy("factors").select("obs_seq", X.recommendation(F.col("risk_tier_name"), F.col("warning_probability")).alias("advice"))
 
 
 @query("alert_bulletins", "SELECT obs_seq, " + text(
@@ -117,7 +117,7 @@ def _(t: Tables):
 ) + " AS bulletin FROM factors f JOIN station_dim s ON f.station_id = s.station_id", ["factors", "station_dim"])
 def _(t: Tables):
     from gaugeflow.operators.hydro_features import with_station_columns
-    rows = with_station_columns(t.factors, t.station_dim, ["station_name"])
+    rows = with_station_columns(t.busy("factors"), t.station_dim, ["station_name"])
     return rows.select("obs_seq", X.bulletin(F.col("station_id"), F.col("station_name")).alias("bulletin"))
 
 
@@ -138,7 +138,8 @@ DOC_LEVEL = "CASE risk_tier_name WHEN 'high' THEN 'HIGH' WHEN 'medium' THEN 'MED
 
 @query("explanation_lists", f"SELECT obs_seq, {lines(DOC_LEVEL)} AS explanation FROM pred", ["pred"])
 def _(t: Tables):
-    return t.pred.select("obs_seq", F.array_join(X.explanation_lines(t.pred, D.document_level(F.col("risk_tier_name"))), " | ").alias("explanation"))
+    rows = t.busy("pred")
+    return rows.select("obs_seq", F.array_join(X.explanation_lines(rows, D.document_level(F.col("risk_tier_name"))), " | ").alias("explanation"))
 
 
 RAIN_TEXT = f"""CASE WHEN rainfall_forecast_next_6h_mm > 0 OR rainfall_forecast_next_24h_mm > 0 THEN concat_ws(' ',
@@ -151,7 +152,7 @@ RAIN_TEXT = f"""CASE WHEN rainfall_forecast_next_6h_mm > 0 OR rainfall_forecast_
 
 @query("weather_sentences", f"WITH {HORIZONS} SELECT obs_seq, {RAIN_TEXT} AS sentence FROM horizons", ["pred", "weather"])
 def _(t: Tables):
-    return S.add_weather_context(t.pred, t.weather).select("obs_seq", X.weather_sentence().alias("sentence"))
+    return S.add_weather_context(t.busy("pred"), t.weather).select("obs_seq", X.weather_sentence().alias("sentence"))
 
 
 def _explained(model: str, name: str, summary: str) -> str:
@@ -164,7 +165,7 @@ SELECT obs_seq, features AS {name}_features, {summary} AS {name}_summary FROM fa
 SELECT * FROM ({_explained('risk_regressor', 'score', SCORE_TEXT)}) JOIN ({_explained('warning_classifier', 'warning', WARNING_TEXT)}) USING (obs_seq)
 JOIN ({_explained('risk_tier_classifier', 'tier', TIER_TEXT)}) USING (obs_seq)""", ["factors"])
 def _(t: Tables):
-    rows = X.explain_predictions(t.factors, BY_MODEL)
+    rows = X.explain_predictions(t.busy("factors"), BY_MODEL)
     parts = {"score": "risk_score_explained", "warning": "warning_explained", "tier": "risk_tier_explained"}
     return rows.select("obs_seq", *[c for n, col in parts.items() for c in (
         F.array_join(F.transform(F.col(f"{col}.top_factors"), lambda e: e["feature"]), ",").alias(f"{n}_features"),
@@ -197,7 +198,7 @@ located AS (SELECT p.*, coalesce(s.district, s.river_name || ' Basin, ' || s.sta
 
 @query("document_locations", "WITH " + LOCATED.format(source="pred") + " SELECT obs_seq, district, state, latitude, longitude FROM located", ["pred", "station_dim"], "latitude longitude")
 def _(t: Tables):
-    return D.resolve_location(t.pred, t.station_dim).select("obs_seq", "location.*")
+    return D.resolve_location(t.busy("pred"), t.station_dim).select("obs_seq", "location.*")
 
 
 def flat(df):
@@ -220,7 +221,7 @@ SELECT obs_seq, {near('risk_score', 4)} AS flood_probability, {DOC_LEVEL} AS ris
  '2024-01-31T00:00:00Z' AS prediction_time, '2024-01-31T06:00:00Z' AS valid_until, {lines(DOC_LEVEL)} AS explanation, 'ml_hybrid' AS model_type, '1.0' AS model_version,
  '{V.DOC_SOURCE}' AS data_sources, '{V.DOC_DISCLAIMER}' AS disclaimer FROM located""", ["pred", "station_dim"], CONFIDENCE)
 def _(t: Tables):
-    return flat(D.prediction_documents(t.pred, t.station_dim, at()))
+    return flat(D.prediction_documents(t.busy("pred"), t.station_dim, at()))
 
 
 @query("forced_documents", f"""
@@ -233,7 +234,7 @@ SELECT obs_seq, {near('risk_score', 4)} AS flood_probability, {DOC_LEVEL} AS ris
  {lines(DOC_LEVEL, extra=f"CASE WHEN i <= 3 THEN '{V.DEMO_LINE}' END")} AS explanation, CASE WHEN i <= 3 THEN {near('real_score', 4)} END AS real_risk_score,
  CASE WHEN i <= 3 THEN 'LOW' END AS real_risk_level FROM chosen""", ["pred_low"], "flood_probability real_risk_score")
 def _(t: Tables):
-    docs = D.prediction_documents(A.force_demo_alerts(t.pred_low), None, at())
+    docs = D.prediction_documents(A.force_demo_alerts(t.busy("pred_low")), None, at())
     return docs.select(
         "obs_seq", "doc.prediction.flood_probability", "doc.prediction.risk_level", F.array_join("doc.explanation", " | ").alias("explanation"),
         "doc.metadata.real_risk_score", "doc.metadata.real_risk_level",
@@ -257,7 +258,7 @@ SELECT obs_seq, {near('risk_score', 4)} AS flood_probability, {DOC_LEVEL} AS ris
  CASE WHEN {RAINY} THEN '{V.DOC_SOURCE} | {V.DOC_RAIN_SOURCE}' ELSE '{V.DOC_SOURCE}' END AS data_sources,
  CASE WHEN NOT {RAINY} THEN '{V.DOC_DISCLAIMER}' END AS disclaimer FROM located""", ["pred", "weather", "station_dim"], CONFIDENCE)
 def _(t: Tables):
-    rows = S.add_weather_context(t.pred, t.weather)
+    rows = S.add_weather_context(t.busy("pred"), t.weather)
     return flat(D.build_documents(D.resolve_location(rows, t.station_dim), at()))
 
 
@@ -267,7 +268,7 @@ SELECT obs_seq, {RAINY} AS weather_data_used, CASE WHEN {RAINY} THEN {near('rain
  CASE WHEN {RAINY} THEN risk_tier_6h END AS risk_level_6h, CASE WHEN {RAINY} THEN {near('risk_score_24h', 4)} END AS risk_score_24h,
  CASE WHEN {RAINY} THEN risk_tier_24h END AS risk_level_24h FROM located""", ["pred", "weather", "station_dim"], "last_6h_mm next_24h_mm risk_score_6h risk_score_24h")
 def _(t: Tables):
-    rows = S.add_horizons(S.add_weather_context(t.pred, t.weather))
+    rows = S.add_horizons(S.add_weather_context(t.busy("pred"), t.weather))
     docs = D.extend_with_weather(D.build_documents(D.resolve_location(rows, t.station_dim), at()))
     return docs.select(
         "obs_seq", "doc.metadata.weather_data_used", "doc.metadata.rainfall_forecast.last_6h_mm", "doc.metadata.rainfall_forecast.next_24h_mm",
@@ -296,10 +297,10 @@ checked AS (SELECT obs_seq, concat_ws('; ', CASE WHEN NOT {_found('prediction')}
 
 @query("document_errors", f"WITH {CHECKED} SELECT obs_seq, errors, errors = '' AS is_valid FROM checked", ["doc_text"])
 def _(t: Tables):
-    return K.check_documents(t.doc_text, "doc").select("obs_seq", F.array_join("errors", "; ").alias("errors"), "is_valid")
+    return K.check_documents(t.busy("doc_text"), "doc").select("obs_seq", F.array_join("errors", "; ").alias("errors"), "is_valid")
 
 
 @query("document_report", f"""WITH {CHECKED} SELECT count(*) AS total_files, count(*) FILTER (WHERE errors = '') AS valid_files,
  count(*) FILTER (WHERE errors <> '') AS invalid_files, count(*) FILTER (WHERE errors <> '') = 0 AS valid FROM checked""", ["doc_text"])
 def _(t: Tables):
-    return K.check_report(K.check_documents(t.doc_text, "doc"))
+    return K.check_report(K.check_documents(t.busy("doc_text"), "doc"))

@@ -30,7 +30,7 @@ def _(t: Tables):
 
 @query("station_page_rows", "WITH " + PARSED.format(source="scrape_page") + STATION_ROWS, ["scrape_page"])
 def _(t: Tables):
-    return html_tables.parse_station_pages(t.scrape_page)
+    return html_tables.parse_station_pages(t.busy("scrape_page"))
 
 
 @query("forecast_feed_rows", """
@@ -40,7 +40,7 @@ SELECT page_id, e.station_id, e.forecast_level, e.forecast_time, e.confidence FR
 UNION ALL SELECT page_id, c[1], TRY_CAST(c[2] AS DOUBLE), c[3], TRY_CAST(c[4] AS DOUBLE) FROM cells
 WHERE len(c) >= 4 AND TRY_CAST(c[2] AS DOUBLE) IS NOT NULL AND TRY_CAST(c[4] AS DOUBLE) IS NOT NULL""", ["forecast_feed"])
 def _(t: Tables):
-    return html_tables.parse_forecast_feed(t.forecast_feed)
+    return html_tables.parse_forecast_feed(t.busy("forecast_feed"))
 
 
 @query("source_fallback", "WITH " + PARSED.format(source="scrape_page") + ", found AS (" + STATION_ROWS + """),
@@ -49,7 +49,7 @@ SELECT found.* FROM found, crawled WHERE n = 0""", ["scrape_page"])
 def _(t: Tables):
     """The crawled pages hold no station table, so the second source answers."""
     crawled = html_tables.parse_station_pages(t.given("pages"))
-    return tables.first_with_rows(crawled, html_tables.parse_station_pages(t.scrape_page))
+    return tables.first_with_rows(crawled, html_tables.parse_station_pages(t.busy("scrape_page")))
 
 
 @query("newest_batch", "SELECT obs_seq, station_id, current_level FROM obs WHERE CAST(observation_time AS DATE) = (SELECT max(CAST(observation_time AS DATE)) FROM obs)",

@@ -12,19 +12,24 @@ from pyspark.sql import functions as F
 from gaugeflow.schemas import FORECAST
 
 _TABLE = r"(?is)<table\b.*?</table\s*>"
-_ROW = r"(?is)<tr\b.*?(?=<tr\b|</tr\s*>|</table\s*>)"
-_CELL = r"(?is)<td\b[^>]*>(.*?)(?=<td\b|</td\s*>|</tr\s*>|<tr\b|\z)"
+_ROW = r"(?is)<tr\b.*?(?=<(?:tr\b|/tr\s*>|/table\s*>))"
+_CELL = r"(?is)<td\b[^>]*>(.*?)(?=<(?:td\b|/td\s*>|/tr\s*>|tr\b)|\z)"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _NOT_FINITE = r"(?i)^[+-]?(nan|inf|infinity)$"
 # Character references met in table cells.
 _ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
+_BLANKS = " \t\r\n\f\u000b\u00a0"
+
+
 def _cell_text(cell: Column) -> Column:
-    text = F.regexp_replace(cell, r"(?s)<[^>]*>", "")
+    plain = F.when(F.contains(cell, F.lit("<")), F.regexp_replace(cell, r"<[^>]*>", "")).otherwise(cell)
+    text = plain
     for name, char in _ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
-    return F.regexp_replace(text, r"^[\s ]+|[\s ]+$", "")
+    text = F.when(F.contains(plain, F.lit("&")), text).otherwise(plain)
+    return F.trim(text, F.lit(_BLANKS))
 
 
 def _is_number(text: Column) -> Column:

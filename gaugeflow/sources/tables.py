@@ -76,3 +76,19 @@ def file_profile(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count(F.lit(1)).alias("records")).withColumn(
         "columns", F.lit(len(rows.columns))
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Let all cores share a small input whose files are too few to occupy them.
+
+    For work that is heavy per row. Only an input below one split per core is
+    moved; anything larger already comes in enough splits and is left alone.
+    """
+    spark = df.sparkSession
+    files = df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if not files or len(files) >= cores:
+        return df
+    split = 128 * 1024 * 1024
+    sizes = spark.read.format("binaryFile").load(files).select(F.ceil(F.col("length") / split).alias("n"))
+    return df.repartition(cores) if sizes.agg(F.sum("n")).first()[0] < cores else df
