@@ -123,6 +123,75 @@ def historical_percentile(df: DataFrame, seq: str = SEQ, hot: HotKeys | None = N
     return per_station(df, [Step(_percentile_step, {"seq": seq})], hot=hot)
 
 
+def _prefix_counts(rows: DataFrame, lane: Lane, behind: int) -> DataFrame:
+    """_now and _old: how many rows of the station are not later than the row, and not later than `behind` before it."""
+    if lane.sliced:
+        facts, one = rows.select(lane.key, US), (F.lit(1).cast("long"), F.sum)
+        rows = fold_until(rows, facts, lane, F.col(US), {"_now": one})
+        rows = fold_until(rows, facts, lane, F.col(US) - behind, {"_old": one})
+        size = rows.groupBy(F.col(lane.key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))  # one row per hot key
+        rows = rows.join(F.broadcast(size), F.col(lane.key).eqNullSafe(F.col("_k"))).drop("_k")
+    else:
+        base = Window.partitionBy(lane.key).orderBy(F.col(US).asc_nulls_last())
+        rows = rows.withColumns({
+            "_now": F.count(US).over(base.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+            "_old": F.count(US).over(base.rangeBetween(Window.unboundedPreceding, -behind)),
+            "_n": F.count(F.lit(1)).over(Window.partitionBy(lane.key)),
+        })
+    untimed = F.col(US).isNull()
+    return rows.withColumns({c: F.when(untimed, 0).otherwise(F.coalesce(F.col(c), F.lit(0))) for c in ("_now", "_old")})
+
+
+def _trailing_step(df: DataFrame, lane: Lane, days: int, seq: str) -> DataFrame:
+    """Rows below within a moving time range, in n log n.
+
+    The range is the difference of two prefixes of the station's time order. A
+    prefix splits into blocks of 1, 2, 4, ... rows, one per set bit of its length,
+    so every reading is filed in the blocks it belongs to and every question is
+    put to the blocks of its prefix; within a block one pass in level order
+    answers all questions. No pairs of rows are formed.
+    """
+    order = time_order(seq)
+    rows, by = lane.arrange(df, *order)
+    rows = numbered(rows, lane, by, order)
+    rows = _prefix_counts(rows, lane, days * 24 * HOUR_US + 1)
+    valued = rows.filter(F.col(LEVEL).isNotNull() & F.col(US).isNotNull())
+    filed = valued.select(
+        lane.key, F.col(LEVEL).alias("_v"), F.lit(1).alias("_data"), F.lit(None).cast("long").alias("_id"), F.lit(0).alias("_sign"),
+        (F.col("_pos") - 1).alias("_p"),
+        F.explode(F.expr("filter(sequence(0, cast(floor(log2(_n)) as int)), k -> (shiftright(_pos - 1, k) & 1) = 0)")).alias("_bit"),
+    ).withColumn("_block", F.expr("shiftright(_p, _bit)"))
+    prefixes = F.explode(F.array(
+        F.struct(F.col("_now").alias("p"), F.lit(1).alias("sign")), F.struct(F.col("_old").alias("p"), F.lit(-1).alias("sign"))
+    ))
+    asked = valued.select(lane.key, F.col(LEVEL).alias("_v"), F.col(seq).cast("long").alias("_id"), prefixes.alias("_q")).filter("_q.p > 0")
+    asked = asked.select(
+        lane.key, "_v", F.lit(0).alias("_data"), "_id", F.col("_q.sign").alias("_sign"), F.col("_q.p").alias("_p"),
+        F.explode(F.expr("filter(sequence(0, cast(floor(log2(_q.p)) as int)), k -> (shiftright(_q.p, k) & 1) = 1)")).alias("_bit"),
+    ).withColumn("_block", F.expr("shiftright(_p, _bit + 1) * 2"))
+    both = filed.unionByName(asked).select(F.struct(lane.key, "_bit", "_block").alias("_group"), "_v", "_data", "_id", "_sign")
+    blocks = Lane("_group", 64 * lane.parts)
+    by_level = [F.col("_v").asc(), F.col("_data").asc()]
+    both, group = blocks.arrange(both, *by_level)
+    below = F.sum("_data").over(running(group, *by_level))
+    if blocks.sliced:
+        both = blocks.carry(both, "_c", F.sum("_data"), F.sum)
+        below = below + F.coalesce(F.col("_c"), F.lit(0))
+    answers = both.withColumn("_below", below).filter("_data = 0").groupBy("_id").agg(F.sum(F.col("_sign") * F.col("_below")).alias("_below"))
+    inside = F.col("_now") - F.col("_old")
+    share = (
+        F.when(inside < 2, V.LONE_ROW_PERCENTILE).when(F.col(LEVEL).isNull(), 0.0)
+        .otherwise(F.coalesce(F.col("_below"), F.lit(0)) / inside * 100.0)
+    )
+    out = rows.join(answers, F.col(seq) == F.col("_id"), "left").withColumn("trailing_percentile", share)
+    return out.drop("_pos", "_now", "_old", "_n", "_id", "_below")
+
+
+def trailing_percentile(df: DataFrame, days: int = V.HISTORY_DAYS, seq: str = SEQ, hot: HotKeys | None = None) -> DataFrame:
+    """Share of the station's rows of the trailing days with a strictly lower level, in percent."""
+    return per_station(timed(df), [Step(_trailing_step, {"days": days, "seq": seq})], hot=hot).drop(US)
+
+
 # --- volatility -------------------------------------------------------------------------
 def _volatility_step(df: DataFrame, lane: Lane) -> DataFrame:
     if not lane.sliced:

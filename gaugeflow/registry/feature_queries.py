@@ -55,6 +55,25 @@ def _(t: Tables):
     return H.historical_percentile(t.obs, hot=t.hot).select("obs_seq", "station_id", "historical_percentile")
 
 
+def _trailing(days: int) -> str:
+    """Counted pair by pair on the SQL side."""
+    return f"""
+WITH pairs AS (SELECT a.obs_seq, a.current_level, count(b.obs_seq) AS n, count(b.obs_seq) FILTER (WHERE b.current_level < a.current_level) AS below
+ FROM obs a LEFT JOIN obs b ON a.station_id = b.station_id AND b.observation_time <= a.observation_time
+  AND b.observation_time >= a.observation_time - INTERVAL {days} DAYS GROUP BY a.obs_seq, a.current_level)
+SELECT obs_seq, CASE WHEN n < 2 THEN 50e0 WHEN current_level IS NULL THEN 0e0 ELSE below / CAST(n AS DOUBLE) * 100 END AS trailing_percentile FROM pairs"""
+
+
+@query("year_percentile", _trailing(365), ["obs"], "trailing_percentile")
+def _(t: Tables):
+    return H.trailing_percentile(t.obs, hot=t.hot).select("obs_seq", "trailing_percentile")
+
+
+@query("ten_day_percentile", _trailing(10), ["obs"], "trailing_percentile")
+def _(t: Tables):
+    return H.trailing_percentile(t.obs, days=10, hot=t.hot).select("obs_seq", "trailing_percentile")
+
+
 @query("basin_average_level", """
 SELECT obs_seq, basin, CASE WHEN basin IS NOT NULL THEN avg(current_level) OVER (PARTITION BY basin) END AS basin_avg_level
 FROM obs LEFT JOIN station_dim USING (station_id)""", ["obs", "station_dim"], "basin_avg_level")

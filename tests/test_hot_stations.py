@@ -35,6 +35,7 @@ CASES = {
     "run": lambda df, hot: hydro.rising_run(df, hot=hot),
     "percentile": lambda df, hot: hydro.historical_percentile(df, hot=hot),
     "volatility": lambda df, hot: hydro.station_volatility(df, hot=hot),
+    "trailing": lambda df, hot: hydro.trailing_percentile(df, days=5, hot=hot),
     "change": lambda df, hot: hydro.change_volatility(df, hot=hot),
 }
 
