@@ -105,7 +105,8 @@ HIGH_TIER_ALERT_TEXT = (
     "ALERT: HIGH FLOOD RISK\nStation: {station}\nDistrict: {district}\nRisk Score: {risk}\n"
     "Time: {time}Z\nData Source: CWC (Govt. of India)\nDisclaimer: Research/Demo use only"
 )
-ALERT_LOG_RULE = "\n" + "-" * 70 + "\n\n"
+ALERT_LOG_RULE = "\n" + "-" * 70
+ALERT_LOG_GAP = "\n\n"
 BLANK_WORDS = ("unknown", "nan", "")
 PREDICTIVE_ALERT_TYPE = "PREDICTIVE_FLOOD_ALERT"
 PREDICTIVE_ALERT_TEXT = "Forecast-based alert (weather-aware)"

@@ -8,13 +8,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _fixed_or_null(value: Column, digits: int) -> Column:
+    """format_number without separators; its one wrong case, a lone 5 right after the last digit, is spelled out."""
+    tie = float(f"5e-{digits + 1}")
+    text = F.translate(F.format_number(value, digits), ",", "")
+    if digits < 3:
+        return text
+    return F.when(value == tie, f"{tie:.{digits}f}").when(value == -tie, f"{-tie:.{digits}f}").otherwise(text)
+
+
 def fixed(value: Column, digits: int) -> Column:
-    """Fixed-point text, half-even on the exact binary value.
+    """Fixed-point text, half-even on the exact binary value; "nan" where missing.
 
-    format_number rounds that way (plain printf formatting rounds half up on
-    the shortest decimal form); only its thousands separators are unwanted.
+    format_number rounds that way, while plain printf formatting rounds half up
+    on the shortest decimal form.
     """
-    return F.coalesce(F.translate(F.format_number(value, digits), ",", ""), F.lit("nan"))
+    return F.coalesce(_fixed_or_null(value, digits), F.lit("nan"))
 
 
 def percent(value: Column, digits: int) -> Column:
@@ -23,7 +32,7 @@ def percent(value: Column, digits: int) -> Column:
 
 def rounded(value: Column, digits: int) -> Column:
     """Half-even rounding of the exact binary value; NULL stays NULL."""
-    return F.translate(F.format_number(value, digits), ",", "").cast("double")
+    return _fixed_or_null(value, digits).cast("double")
 
 
 def fill(template: str, **parts: Column) -> Column:
