@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow import fixed_values as V
 from gaugeflow.functions.numbers import holds, with_totals
 from gaugeflow.operators.order_stats import exact_quantiles
 from gaugeflow.operators.ordered import (
-    KEY, LEVEL, SEQ, TIME, US, HotKeys, Lane, Step, numbered, per_station, previous_level, running, time_order, timed,
+    LEVEL, SEQ, TIME, US, HotKeys, Lane, Step, find_hot, numbered, per_station, previous_level, running, time_order, timed,
 )
 from gaugeflow.schemas import LEVEL_COLUMNS
 
@@ -174,6 +174,8 @@ def clean(
     The range check sees values before unit conversion, so centimetre data is
     flagged as out of range.
     """
+    if hot is None and (validate or handle_missing):
+        hot = find_hot(df)
     if validate:
         df = validate_levels(df, seq, hot)
     if normalize:

@@ -12,7 +12,7 @@ from gaugeflow import fixed_values as V
 from gaugeflow.functions.numbers import holds
 from gaugeflow.operators.ordered import (
     KEY, LEVEL, SEQ, TIME, US, HotKeys, Lane, Step, attach, fold_until, numbered, per_station, previous_level,
-    running, slice_in_order, time_order, timed,
+    find_hot, running, slice_in_order, slices_for, time_order, timed,
 )
 from gaugeflow.operators.stations import one_per_station
 
@@ -266,8 +266,7 @@ def rolling_average(df: DataFrame, seq: str = SEQ, width: int = 3, parts: int |
     The table is range-partitioned in that order; each slice also gets the last
     rows of what precedes it, so no single task sees the whole table.
     """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or slices_for(df.sparkSession, df.count())
     order = [F.col(KEY).asc_nulls_last(), *time_order(seq)]
     rows = slice_in_order(timed(df), parts, *order)
     newest = Window.partitionBy("_slice").orderBy(F.col(KEY).desc_nulls_first(), F.col(US).desc_nulls_first(), F.col(seq).desc_nulls_first())
@@ -315,6 +314,7 @@ def hydro_features(
     The station steps run over one exchange. Without a basin anywhere the basin
     average is the rolling mean in table order.
     """
+    hot = find_hot(obs) if hot is None else hot
     steps = [Step(_rate_step, {"hours": rate_hours, "seq": seq}), Step(_percentile_step, {"seq": seq}), Step(_volatility_step)]
     rows = per_station(timed(distances(obs)), steps, hot=hot).drop(US)
     if stations is not None and "basin" in stations.columns:

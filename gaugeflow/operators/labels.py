@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow import fixed_values as V
 from gaugeflow.functions.numbers import clip, gaussian, holds, with_totals
-from gaugeflow.operators.order_stats import exact_quantiles, row_at_rank
+from gaugeflow.operators.order_stats import exact_quantiles, rows_at_ranks, select_ranks
 from gaugeflow.operators.ordered import KEY, SEQ, TIME, US, timed
 
 
@@ -54,23 +54,23 @@ def temporal_split(df: DataFrame, time: str = TIME, seq: str = SEQ) -> DataFrame
     """
     rows = timed(df, time)
     order = F.struct(F.col(US).cast("double").alias("u"), F.col(seq).cast("double").alias("s"))
-    total = df.count()
     untimed_last = F.col(US).isNull()
+    total = df.count()
+    places = [int(total * share) for share in (V.TEMPORAL_TRAIN, V.TEMPORAL_VALIDATION)]
+    with_time, borders = rows_at_ranks(rows, US, seq, places)
 
-    def reached(share: float) -> Column:
-        """True for rows at or after position int(total * share)."""
-        place = int(total * share)
+    def reached(place: int) -> Column:
+        """True for rows at or after a position."""
         if place >= total:
             return F.lit(False)
-        border = row_at_rank(rows, US, seq, lambda _: place)
-        if border is None:  # the border lies among the rows without a time
-            timed_rows = rows.filter(~untimed_last).count()
-            late = row_at_rank(rows.filter(untimed_last).withColumn("_z", F.lit(0)), "_z", seq, lambda _: place - timed_rows)
-            return untimed_last & (F.col(seq) >= late[1])
-        mark = F.struct(F.lit(border[0]).alias("u"), F.lit(border[1]).alias("s"))
-        return untimed_last | holds(order >= mark)
-
-    split = F.when(reached(V.TEMPORAL_VALIDATION), "test").when(reached(V.TEMPORAL_TRAIN), "validation").otherwise("train")
+        if place >= with_time:  # the border lies among the rows without a time, which are ordered by seq
+            late = select_ranks(rows.filter(untimed_last), seq, lambda _: [place - with_time])[1][place - with_time]
+            return untimed_last & (F.col(seq) >= late.value)
+        u, s = borders[place]
+        return untimed_last | holds(order >= F.struct(F.lit(u).alias("u"), F.lit(s).alias("s")))
+
+    train_end, validation_end = places
+    split = F.when(reached(validation_end), "test").when(reached(train_end), "validation").otherwise("train")
     return rows.withColumn("split", split).drop(US)
 
 

@@ -98,15 +98,19 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[flo
     return out
 
 
-def row_at_rank(df: DataFrame, first: str, second: str, rank: Callable[[int], int]) -> tuple[float, float] | None:
-    """(first, second) of the row at a 0-based rank of the order by both columns.
+def rows_at_ranks(df: DataFrame, first: str, second: str, ranks: list[int]) -> tuple[int, dict[int, tuple[float, float]]]:
+    """(rows with a value, rank -> (first, second)) in the order by both columns.
 
-    Both columns must be numbers a double holds exactly; `second` is unique.
+    Both columns must be numbers a double holds exactly; `second` is unique. It is
+    looked up only among rows that share the value of `first`; where that is one
+    row, minus infinity stands for it.
     """
-    count, hits = select_ranks(df, first, lambda n: [rank(n)])
-    hit = hits.get(rank(count))
-    if hit is None:
-        return None
-    peers = df.filter(F.col(first) == F.lit(hit.value))
-    place = rank(count) - hit.below
-    return hit.value, select_ranks(peers, second, lambda _: [place])[1][place].value
+    count, hits = select_ranks(df, first, lambda _: ranks)
+    out = {}
+    for rank, hit in hits.items():
+        place, at = rank - hit.below, float("-inf")
+        if hit.ties > 1:
+            peers = df.filter(F.col(first) == F.lit(hit.value))
+            at = select_ranks(peers, second, lambda _, p=place: [p])[1][place].value
+        out[rank] = (hit.value, at)
+    return count, out

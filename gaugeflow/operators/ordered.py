@@ -102,6 +102,11 @@ def slice_in_order(df: DataFrame, parts: int, *order: Column) -> DataFrame:
     return ranged.withColumn("_slice", F.spark_partition_id()).checkpoint()
 
 
+def slices_for(spark, rows: int) -> int:
+    """How many ordered slices a table of that many rows needs, never fewer than the session's partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * rows // HOT_ROWS))
+
+
 @dataclass(frozen=True)
 class Step:
     """One order-dependent operator: rows and lane in, rows out."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.operators.ordered import KEY
+from gaugeflow.session import use_checkpoints
 
 GROWTH = 4.0
 
@@ -52,6 +53,7 @@ def nearest_cell(
     located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     done = empty.filter(~located)
     todo = todo.filter(located)
+    use_checkpoints(stations.sparkSession)
     size = _uncrowded(cells, cell_degrees)
     for _ in range(max_passes):
         reach = todo.select(
@@ -69,6 +71,7 @@ def nearest_cell(
             .groupBy(KEY, "latitude", "longitude")
             .agg(F.min(F.struct("_d", "cell_id", "rain_mm")).alias("b"))
             .select(KEY, "latitude", "longitude", "b.cell_id", "b.rain_mm", F.sqrt("b._d").alias("distance"))
+            .checkpoint()  # one row per open station; the next pass starts from the written rows
         )
         final = best.filter(F.col("distance") < size)
         done = done.unionByName(final)

@@ -144,7 +144,7 @@ def test_cycles_replay_and_failure(spark, t, fitted, tmp_path):
     border = dt.datetime(2024, 1, 16)
     for name, part in (("a", obs.filter(F.col("observation_time") < border)), ("b", obs.filter(F.col("observation_time") >= border))):
         part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-        plan = CyclePlan(f"{root}/out", f"{root}/models", t.station_dim, t.weather, tolerate_failures=False)
+        plan = CyclePlan(f"{root}/out", f"{root}/models", t.station_dim, t.weather, history_days=365, tolerate_failures=False)
         start_cycles(spark, f"{root}/in", obs.schema, plan, f"{root}/ckpt").awaitTermination()
     stats = spark.read.parquet(f"{root}/out/statistics").orderBy("batch_id").collect()
     assert [r.batch_id for r in stats] == [0, 1] and sum(r.total_predictions for r in stats) == obs.count()
