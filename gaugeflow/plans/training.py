@@ -24,7 +24,7 @@ from gaugeflow.operators.scoring import score_all
 from gaugeflow.session import use_checkpoints
 
 
-PARTITION_ROWS = 25_000
+PARTITION_ROWS = 100_000
 
 
 @dataclass(frozen=True)

@@ -118,6 +118,12 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.sql(text)
 
 
+def observations_of(events: DataFrame) -> DataFrame:
+    """The obs view over a given events table, for example one batch of a stream."""
+    events.createOrReplaceTempView("events")
+    return events.sparkSession.sql(VIEWS["obs"])
+
+
 def with_views(sql: str, *names: str) -> str:
     """Prefix a check query with the views it reads."""
     needed: list[str] = []

@@ -4,8 +4,11 @@ from pyspark.sql import functions as F
 
 from gaugeflow.operators import documents as D, explain as X, hydro_features as H, labels as L, scoring as S
 from gaugeflow.plans import training as T
-from gaugeflow.plans.runs import explained_run, inference_run
+from gaugeflow.plans.runs import explained_run, full_run, inference_run
 from gaugeflow.registry.catalog import Tables, at, query
+from gaugeflow.registry.fixtures import observations_of
+from gaugeflow.session import shared_folder
+from gaugeflow.streaming.cycles import CyclePlan, start_cycles
 
 # Small models keep the registered runs short; the library default is 100 trees.
 QUICK = T.Settings(trees=5, depth=3)
@@ -102,3 +105,21 @@ def _(t: Tables):
     """Readings to documents in one plan: clean, derive, score, locate, build."""
     predictions = S.predict_with_weather(labelled(t).drop("risk_score", "risk_tier"), models(t), t.weather)
     return D.as_json(D.prediction_documents(predictions, t.station_dim, at())).select("obs_seq", "json")
+
+
+@query("complete_run")
+def _(t: Tables):
+    """Clean, derive, train, score, alert and write everything; the run's record counts."""
+    root = shared_folder(t.spark, "complete-run")
+    return full_run(t.obs, t.station_dim, t.weather, at(), root, "r1", QUICK, hot=t.hot).status
+
+
+@query("streamed_cycles")
+def _(t: Tables):
+    """The events files as a stream of cycles with saved models; the statistics of each cycle."""
+    root = shared_folder(t.spark, "cycles")
+    T.save_models(models(t), f"{root}/models")
+    plan = CyclePlan(f"{root}/out", f"{root}/models", t.station_dim, t.weather, tolerate_failures=False)
+    raw = t.spark.read.parquet(f"{t.folder}/events.parquet").schema
+    start_cycles(t.spark, f"{t.folder}/events*.parquet", raw, plan, f"{root}/checkpoint", prepare=observations_of).awaitTermination()
+    return t.spark.read.parquet(f"{root}/out/statistics")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -40,6 +41,12 @@ def local_session(cores: int | str = "*", app: str = "gaugeflow") -> SparkSessio
     return tune(spark)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder all executors can reach, next to the checkpoints."""
+    use_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() usable, preferring the shared folder the cluster names.
 
