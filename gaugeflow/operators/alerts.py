@@ -77,7 +77,7 @@ def generate_alerts(
     else:
         wanted = [c for c in ("station_name", "river_name", "state") if c not in predictions.columns]
         side = one_per_station(stations.select(KEY, *wanted))
-        rows = with_messages(attach(rows, side, KEY)) if name_first else attach(with_messages(rows), side, KEY)
+        rows = with_messages(attach(rows, side, KEY, sized_by=stations)) if name_first else attach(with_messages(rows), side, KEY, sized_by=stations)
     return rows if at is None else rows.withColumn("alert_timestamp", iso(at))
 
 
@@ -120,7 +120,7 @@ def high_tier_alerts(predictions: DataFrame, stations: DataFrame | None, at: Col
     rows = predictions.filter(F.lower("risk_tier_name") == "high")
     if stations is not None:
         side = one_per_station(stations.select(KEY, F.col("district").alias("_district")))
-        rows = attach(rows, side, KEY)
+        rows = attach(rows, side, KEY, sized_by=stations)
         district = F.coalesce(known(F.col("_district"), V.BLANK_WORDS + ("none",)), F.lit("Unknown"))
     else:
         district = F.lit("Unknown")

@@ -9,7 +9,7 @@ from gaugeflow import fixed_values as V
 from gaugeflow.functions.numbers import holds, with_totals
 from gaugeflow.operators.order_stats import exact_quantiles
 from gaugeflow.operators.ordered import (
-    LEVEL, SEQ, TIME, US, HotKeys, Lane, Step, find_hot, numbered, per_station, previous_level, running, time_order, timed,
+    LEVEL, SEQ, TIME, US, HotKeys, Lane, Step, as_before, find_hot, numbered, per_station, previous_level, running, time_order, timed,
 )
 from gaugeflow.schemas import LEVEL_COLUMNS
 
@@ -41,7 +41,7 @@ def _jump_step(df: DataFrame, lane: Lane, seq: str) -> DataFrame:
 
 def flag_jumps(df: DataFrame, seq: str = SEQ, hot: HotKeys | None = None) -> DataFrame:
     """Mark readings that differ by more than the allowed jump from the one before."""
-    return per_station(timed(df), [Step(_jump_step, {"seq": seq})], hot=hot).drop(US)
+    return as_before(per_station(timed(df), [Step(_jump_step, {"seq": seq})], hot=hot), df)
 
 
 def validate_levels(df: DataFrame, seq: str = SEQ, hot: HotKeys | None = None) -> DataFrame:
@@ -78,7 +78,7 @@ def _interpolate_step(df: DataFrame, lane: Lane, columns: tuple[str, ...], seq:
     rows = numbered(rows, lane, by, time_order(seq))
     # Looking ahead is a running frame over the reversed order: a frame that ends
     # at UNBOUNDED FOLLOWING would be evaluated anew for every row.
-    behind = running(by, F.col("_pos").asc())
+    behind = running(by, *time_order(seq))
     ahead = running(by, F.col("_pos").desc())
     for c in columns:
         mark = F.when(F.col(c).isNotNull(), F.struct(F.col("_pos").alias("at"), F.col(c).alias("v")))
@@ -133,7 +133,7 @@ def fill_gaps(
     if strategy not in steps or not present:
         return df
     step = Step(steps[strategy], {"columns": present, "seq": seq})
-    return per_station(timed(df), [step], hot=hot).drop(US)
+    return as_before(per_station(timed(df), [step], hot=hot), df)
 
 
 def normalize_units(df: DataFrame) -> DataFrame:
@@ -174,12 +174,14 @@ def clean(
     The range check sees values before unit conversion, so centimetre data is
     flagged as out of range.
     """
-    if hot is None and (validate or handle_missing):
-        hot = find_hot(df)
+    given = df
+    if validate or handle_missing:
+        hot = find_hot(df) if hot is None else hot
+        df = timed(df)
     if validate:
         df = validate_levels(df, seq, hot)
     if normalize:
         df = normalize_units(df)
     if handle_missing:
         df = fill_gaps(df, seq=seq, hot=hot)
-    return detect_outliers(df) if outliers else df
+    return as_before(detect_outliers(df) if outliers else df, given)

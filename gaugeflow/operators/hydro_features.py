@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gaugeflow import fixed_values as V
 from gaugeflow.functions.numbers import holds
 from gaugeflow.operators.ordered import (
-    KEY, LEVEL, SEQ, TIME, US, HotKeys, Lane, Step, attach, fold_until, numbered, per_station, previous_level,
+    KEY, LEVEL, SEQ, TIME, US, HotKeys, Lane, Step, as_before, attach, fold_until, numbered, per_station, previous_level,
     find_hot, running, slice_in_order, slices_for, time_order, timed,
 )
 from gaugeflow.operators.stations import one_per_station
@@ -23,7 +23,7 @@ def with_station_columns(obs: DataFrame, stations: DataFrame, columns: Sequence[
     """Left join the station dimension; columns the readings already have are kept from them."""
     wanted = [c for c in (columns or stations.columns) if c not in obs.columns]
     side = one_per_station(stations.select(KEY, *wanted))
-    return attach(obs, side, KEY)
+    return attach(obs, side, KEY, sized_by=stations)
 
 
 def distances(df: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def rate_of_rise(
     df: DataFrame, hours: int = V.RATE_WINDOW_HOURS, seq: str = SEQ, hot: HotKeys | None = None
 ) -> DataFrame:
     """Rise per hour against the newest reading that is at least `hours` old; never negative."""
-    return per_station(timed(df), [Step(_rate_step, {"hours": hours, "seq": seq})], hot=hot).drop(US)
+    return as_before(per_station(timed(df), [Step(_rate_step, {"hours": hours, "seq": seq})], hot=hot), df)
 
 
 # --- rising hours ------------------------------------------------------------------
@@ -73,7 +73,7 @@ def _run_step(df: DataFrame, lane: Lane, seq: str) -> DataFrame:
     rows = numbered(rows, lane, by, time_order(seq))
     broke = F.when(~holds(F.col(LEVEL) > F.col("_prev")), F.col("_pos"))
     rows = rows.withColumn("_broke", broke)
-    latest = F.max("_broke").over(running(by, F.col("_pos").asc()))
+    latest = F.max("_broke").over(running(by, *time_order(seq)))
     if lane.sliced:
         rows = lane.carry(rows, "_earlier", F.max("_broke"), F.max)
         latest = F.coalesce(latest, F.col("_earlier"))
@@ -82,7 +82,7 @@ def _run_step(df: DataFrame, lane: Lane, seq: str) -> DataFrame:
 
 def rising_run(df: DataFrame, seq: str = SEQ, hot: HotKeys | None = None) -> DataFrame:
     """Length of the current run of consecutive rises."""
-    return per_station(timed(df), [Step(_run_step, {"seq": seq})], hot=hot).drop(US)
+    return as_before(per_station(timed(df), [Step(_run_step, {"seq": seq})], hot=hot), df)
 
 
 # --- percentile within the station ----------------------------------------------------
@@ -170,7 +170,7 @@ def _trailing_step(df: DataFrame, lane: Lane, days: int, seq: str) -> DataFrame:
         F.explode(F.expr("filter(sequence(0, cast(floor(log2(_q.p)) as int)), k -> (shiftright(_q.p, k) & 1) = 1)")).alias("_bit"),
     ).withColumn("_block", F.expr("shiftright(_p, _bit + 1) * 2"))
     both = filed.unionByName(asked).select(F.struct(lane.key, "_bit", "_block").alias("_group"), "_v", "_data", "_id", "_sign")
-    blocks = Lane("_group", 64 * lane.parts)
+    blocks = Lane("_group", 32 * lane.parts)
     by_level = [F.col("_v").asc(), F.col("_data").asc()]
     both, group = blocks.arrange(both, *by_level)
     below = F.sum("_data").over(running(group, *by_level))
@@ -189,7 +189,7 @@ def _trailing_step(df: DataFrame, lane: Lane, days: int, seq: str) -> DataFrame:
 
 def trailing_percentile(df: DataFrame, days: int = V.HISTORY_DAYS, seq: str = SEQ, hot: HotKeys | None = None) -> DataFrame:
     """Share of the station's rows of the trailing days with a strictly lower level, in percent."""
-    return per_station(timed(df), [Step(_trailing_step, {"days": days, "seq": seq})], hot=hot).drop(US)
+    return as_before(per_station(timed(df), [Step(_trailing_step, {"days": days, "seq": seq})], hot=hot), df)
 
 
 # --- volatility -------------------------------------------------------------------------
@@ -246,18 +246,20 @@ def change_volatility(
     df: DataFrame, hours: int = V.LOOKBACK_HOURS, seq: str = SEQ, hot: HotKeys | None = None
 ) -> DataFrame:
     """Sample standard deviation of level changes within the trailing hours."""
-    return per_station(timed(df), [Step(_change_step, {"hours": hours, "seq": seq})], hot=hot).drop(US)
+    return as_before(per_station(timed(df), [Step(_change_step, {"hours": hours, "seq": seq})], hot=hot), df)
 
 
 # --- averages ------------------------------------------------------------------------------
-def basin_average(df: DataFrame) -> DataFrame:
+def basin_average(df: DataFrame, stations: DataFrame | None = None) -> DataFrame:
     """Mean level of the basin on every row; rows without a basin get none.
 
     Levels are summed per basin before anything moves, and only the small result
-    is joined back; a basin never has to fit into one task.
+    is joined back; a basin never has to fit into one task. With the station
+    table at hand basins are counted there and not on the readings.
     """
     means = df.filter(F.col("basin").isNotNull()).groupBy("basin").agg(F.avg(LEVEL).alias("basin_avg_level"))
-    return attach(df.drop("basin_avg_level"), means, "basin")
+    named = stations.select("basin").distinct() if stations is not None else None
+    return attach(df.drop("basin_avg_level"), means, "basin", sized_by=named)
 
 
 def rolling_average(df: DataFrame, seq: str = SEQ, width: int = 3, parts: int | None = None) -> DataFrame:
@@ -317,9 +319,10 @@ def hydro_features(
     hot = find_hot(obs) if hot is None else hot
     steps = [Step(_rate_step, {"hours": rate_hours, "seq": seq}), Step(_percentile_step, {"seq": seq}), Step(_volatility_step)]
     rows = per_station(timed(distances(obs)), steps, hot=hot).drop(US)
-    if stations is not None and "basin" in stations.columns:
-        rows = with_station_columns(rows, stations, ["basin"])
-    rows = basin_average(rows) if "basin" in rows.columns else rolling_average(rows, seq)
+    dimension = stations if stations is not None and "basin" in stations.columns else None
+    if dimension is not None:
+        rows = with_station_columns(rows, dimension, ["basin"])
+    rows = basin_average(rows, dimension) if "basin" in rows.columns else rolling_average(rows, seq)
     trend = F.col("trend") if "trend" in rows.columns else F.lit("unknown")
     if f"rate_of_rise_{rate_hours}h" != "rate_of_rise_3h":
         rows = rows.withColumnRenamed(f"rate_of_rise_{rate_hours}h", "rate_of_rise_3h")

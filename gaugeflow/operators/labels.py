@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gaugeflow import fixed_values as V
 from gaugeflow.functions.numbers import clip, gaussian, holds, with_totals
 from gaugeflow.operators.order_stats import exact_quantiles, rows_at_ranks, select_ranks
-from gaugeflow.operators.ordered import KEY, SEQ, TIME, US, timed
+from gaugeflow.operators.ordered import KEY, SEQ, TIME, US, as_before, timed
 
 
 def risk_score(distance: Column) -> Column:
@@ -71,7 +71,7 @@ def temporal_split(df: DataFrame, time: str = TIME, seq: str = SEQ) -> DataFrame
 
     train_end, validation_end = places
     split = F.when(reached(validation_end), "test").when(reached(train_end), "validation").otherwise("train")
-    return rows.withColumn("split", split).drop(US)
+    return as_before(rows.withColumn("split", split), df)
 
 
 def fill_features(df: DataFrame, columns: Sequence[str] = V.HYDRO_FEATURES) -> DataFrame:

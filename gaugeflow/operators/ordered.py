@@ -141,8 +141,17 @@ def per_station(
 
 
 def timed(df: DataFrame, time: str = TIME) -> DataFrame:
-    """Add the microsecond order column all time windows share."""
-    return df.withColumn(US, F.unix_micros(F.col(time).cast("timestamp")))
+    """Add the microsecond order column all time windows share, unless it is there.
+
+    Operators called on an already timed table keep the column, so that windows
+    of several operators also share one sort.
+    """
+    return df if US in df.columns else df.withColumn(US, F.unix_micros(F.col(time).cast("timestamp")))
+
+
+def as_before(rows: DataFrame, given: DataFrame) -> DataFrame:
+    """Drop the order column again if the given table came without it."""
+    return rows if US in given.columns else rows.drop(US)
 
 
 def time_order(seq: str = SEQ) -> list[Column]:
@@ -210,11 +219,18 @@ def fold_until(
 
 
 def attach(
-    df: DataFrame, side: DataFrame, on: str | list[str], how: str = "left", max_rows: int = BROADCAST_ROWS
+    df: DataFrame,
+    side: DataFrame,
+    on: str | list[str],
+    how: str = "left",
+    max_rows: int = BROADCAST_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Join a side that is broadcast only if counted to be small.
 
     Otherwise it is a shuffle join, where adaptive execution splits hot keys.
+    `sized_by` is a table with at least as many rows that is cheaper to count.
     """
-    small = side.limit(max_rows + 1).count() <= max_rows
+    counted = side if sized_by is None else sized_by
+    small = counted.limit(max_rows + 1).count() <= max_rows
     return df.join(F.broadcast(side) if small else side, on, how)

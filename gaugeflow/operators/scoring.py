@@ -61,7 +61,7 @@ def score_all(features: DataFrame, models: Mapping[str, object]) -> DataFrame:
 def add_weather_context(predictions: DataFrame, weather: DataFrame) -> DataFrame:
     """Rainfall in millimetres on the predictions; it replaces same-named columns, missing is 0."""
     side = one_per_station(weather.select(KEY, *V.RAIN_COLUMNS))
-    joined = attach(predictions.drop(*V.RAIN_COLUMNS), side, KEY)
+    joined = attach(predictions.drop(*V.RAIN_COLUMNS), side, KEY, sized_by=weather)
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in V.RAIN_COLUMNS})
 
 

@@ -207,9 +207,10 @@ def stations_needing_attention(t: Tables):
     from gaugeflow.operators.cleaning import validate_levels
     from gaugeflow.operators.hydro_features import distances, rate_of_rise
     from gaugeflow.operators.labels import risk_score
+    from gaugeflow.operators.ordered import timed
     from gaugeflow.operators.stations import latest_per_station
 
-    rows = rate_of_rise(validate_levels(t.obs, hot=t.hot), hot=t.hot)
+    rows = rate_of_rise(validate_levels(timed(t.obs), hot=t.hot), hot=t.hot)
     newest = latest_per_station(distances(rows.filter("is_valid")), "observation_time", "obs_seq")
     scored = newest.withColumn("risk_score", risk_score(F.col("distance_to_danger")))
     return scored.withColumn("risk_level", S.risk_level(F.col("risk_score"))).orderBy(

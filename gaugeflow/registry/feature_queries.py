@@ -79,7 +79,7 @@ SELECT obs_seq, basin, CASE WHEN basin IS NOT NULL THEN avg(current_level) OVER
 FROM obs LEFT JOIN station_dim USING (station_id)""", ["obs", "station_dim"], "basin_avg_level")
 def _(t: Tables):
     rows = H.with_station_columns(t.obs, t.station_dim, ["basin"])
-    return H.basin_average(rows).select("obs_seq", "basin", "basin_avg_level")
+    return H.basin_average(rows, t.station_dim).select("obs_seq", "basin", "basin_avg_level")
 
 
 @query("rolling_level_average", """
