@@ -103,10 +103,10 @@ def _(t: Tables):
 
 
 @query("alerts_by_state", f"""WITH {ASSESSED} SELECT obs_seq, state FROM alerts LEFT JOIN station_dim s ON alerts.station_id = s.station_id
-WHERE state IN ('NATION_1', 'NATION_7', 'NATION_12')""", ["pred", "station_dim"])
+WHERE state IN ('NATION_2', 'NATION_17', 'NATION_19')""", ["pred", "station_dim"])
 def _(t: Tables):
     rows = A.generate_alerts(t.pred, t.station_dim)
-    return A.filter_by_states(rows, ["NATION_1", "NATION_7", "NATION_12"]).select("obs_seq", "state")
+    return A.filter_by_states(rows, ["NATION_2", "NATION_17", "NATION_19"]).select("obs_seq", "state")
 
 
 @query("top_alerts", f"WITH {ASSESSED} SELECT obs_seq, alert_severity, {RANK} AS severity_rank, risk_score FROM alerts ORDER BY severity_rank DESC, risk_score DESC, obs_seq LIMIT 10",
