@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeflow.llm.decontamination import find_contamination
 from gaugeflow.llm.line_dedup import dedup_lines
+from gaugeflow.llm.near_dedup import group_near_duplicates
 from gaugeflow.llm.packed import table
 from gaugeflow.llm.packing import pack
+from gaugeflow.llm.quality import fit, score_quality
 from gaugeflow.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +38,8 @@ def digest(text: str) -> F.Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
 
-BLANK = r"[\x20\x09-\x0D]"
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = r"""
 WITH lines AS (
@@ -63,3 +67,71 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     return pack(table(spark, folder, "documents"), size=1024, end=2)
+
+
+def held_out() -> F.Column:
+    """Rows whose labels nothing is learned from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+
+
+@query("op3_quality_classifier")
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Every whole document scored by a network that learned from labels of the other rows."""
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    network = fit(docs, labels.where(~held_out()), "quality")
+    scored = score_quality(docs, network, threshold=0.7)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+OP4_SQL = rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM texts
+), each AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT l.y, r.c FROM reached r JOIN links l ON r.doc_id = l.x
+), least AS (SELECT doc_id, min(c) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)
+"""
+
+
+@query("op4_minhash_near_dedup", OP4_SQL)
+def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose 4-word shingles overlap by 80 percent or more."""
+    return group_near_duplicates(table(spark, folder, "documents"), width=4, percent=80)
+
+
+OP9_SQL = rf"""
+WITH item AS (
+  SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2),
+    lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS g FROM item WHERE len(w) > 0
+), doc AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), spans AS (
+  SELECT doc_id, l.n, unnest(range(1, len(w) - l.n + 2)) AS at,
+    unnest(list_transform(range(1, len(w) - l.n + 2), lambda i: array_to_string(w[i:i + l.n - 1], ' '))) AS g
+  FROM doc, (SELECT DISTINCT n FROM windows) l WHERE len(w) >= l.n
+), met AS (SELECT s.doc_id, s.at, s.n, w.item_id FROM spans s JOIN windows w ON s.g = w.g AND s.n = w.n
+), hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + n)) AS p FROM met) GROUP BY doc_id
+), named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS i FROM met GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(i, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@query("op9_benchmark_decontamination", OP9_SQL)
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of documents inside 10-word windows of benchmark items."""
+    docs, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
+    found = find_contamination(docs, items, size=10)
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
