@@ -43,15 +43,15 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 
 OP1_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, line, at, regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT doc_id, line, pos, regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at FROM documents)
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
 ), often AS (
   SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT lost), '')) AS kept_sha256
-FROM (SELECT l.doc_id, l.line, l.at, coalesce(o.last <> l.doc_id, FALSE) AS lost FROM lines l LEFT JOIN often o ON l.key = o.key)
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM (SELECT l.doc_id, l.line, l.pos, coalesce(o.last <> l.doc_id, FALSE) AS lost FROM lines l LEFT JOIN often o ON l.key = o.key)
 GROUP BY doc_id
 """
 
@@ -116,11 +116,11 @@ WITH item AS (
 ), doc AS (
   SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), spans AS (
-  SELECT doc_id, l.n, unnest(range(1, len(w) - l.n + 2)) AS at,
+  SELECT doc_id, l.n, unnest(range(1, len(w) - l.n + 2)) AS pos,
     unnest(list_transform(range(1, len(w) - l.n + 2), lambda i: array_to_string(w[i:i + l.n - 1], ' '))) AS g
   FROM doc, (SELECT DISTINCT n FROM windows) l WHERE len(w) >= l.n
-), met AS (SELECT s.doc_id, s.at, s.n, w.item_id FROM spans s JOIN windows w ON s.g = w.g AND s.n = w.n
-), hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + n)) AS p FROM met) GROUP BY doc_id
+), met AS (SELECT s.doc_id, s.pos, s.n, w.item_id FROM spans s JOIN windows w ON s.g = w.g AND s.n = w.n
+), hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM met) GROUP BY doc_id
 ), named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS i FROM met GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(i, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated
