@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from gaugeflow.llm.decontamination import find_contamination
 from gaugeflow.llm.line_dedup import dedup_lines
 from gaugeflow.llm.near_dedup import group_near_duplicates
+from gaugeflow.llm.neighbours import nearest
 from gaugeflow.llm.packed import table
 from gaugeflow.llm.packing import pack
 from gaugeflow.llm.quality import fit, score_quality
+from gaugeflow.llm.url_filters import host_of, judge_urls
 from gaugeflow.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +137,41 @@ def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = find_contamination(docs, items, size=10)
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+
+
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+OP7_SQL = r"""
+WITH rest AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), cut AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), c AS (
+  SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/|\.html)$', '') AS canonical,
+    CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM cut
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN canonical IN (SELECT canonical FROM c WHERE host LIKE '%ads-track%') AND host <> '' THEN 'block' ELSE 'allow' END AS verdict
+FROM c
+"""
+
+
+@query("op7_url_filters", OP7_SQL)
+def url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules on hosts and paths; where none fits, the URLs of tracking hosts are the list."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    listed = pages.where(host_of(F.col("url")).contains("ads-track")).select("url")
+    return judge_urls(pages, RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest rows of every 50th vector."""
+    vectors = table(spark, folder, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
