@@ -14,6 +14,7 @@ from gaugeflow.llm.neighbours import nearest
 from gaugeflow.llm.packed import table
 from gaugeflow.llm.packing import pack
 from gaugeflow.llm.quality import fit, score_quality
+from gaugeflow.llm.substring_array import remove_repeats
 from gaugeflow.llm.url_filters import host_of, judge_urls
 from gaugeflow.session import tune
 
@@ -175,3 +176,11 @@ def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 5 nearest rows of every 50th vector."""
     vectors = table(spark, folder, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@query("op8_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of 100-byte strings that start earlier too are removed."""
+    kept = remove_repeats(table(spark, folder, "documents"), length=100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
