@@ -13,8 +13,11 @@ from gaugeflow.llm.near_dedup import group_near_duplicates
 from gaugeflow.llm.neighbours import nearest
 from gaugeflow.llm.packed import table
 from gaugeflow.llm.packing import pack
+from gaugeflow.llm.passages import fuzzy_passages
 from gaugeflow.llm.quality import fit, score_quality
 from gaugeflow.llm.substring_array import remove_repeats
+from gaugeflow.llm.transcripts import fit as fit_transcripts
+from gaugeflow.llm.transcripts import parse_transcripts
 from gaugeflow.llm.url_filters import host_of, judge_urls
 from gaugeflow.session import tune
 
@@ -184,3 +187,32 @@ def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = remove_repeats(table(spark, folder, "documents"), length=100)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_substring_chains")
+def substring_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of at least 50 words that a document shares, nearly or wholly, with an earlier one."""
+    return fuzzy_passages(table(spark, folder, "documents"), least=50, identity=0.8)
+
+
+SEGMENT = 256  # turns that are parsed together; a longer conversation is parsed in segments
+
+
+def raw_transcripts(turns: DataFrame) -> DataFrame:
+    """Conversations as raw text: most turns carry one of several markers, the others a blank line only."""
+    drawn = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8))
+    named = F.create_map(*(F.lit(x) for x in ("system", "System: ", "user", "User: ", "assistant", "Assistant: ")))
+    other = F.create_map(*(F.lit(x) for x in ("system", "### System: ", "user", "Human: ", "assistant", "AI: ")))
+    marker = F.when(drawn < 4, named[F.col("role")]).when(drawn < 7, other[F.col("role")]).otherwise("\n")
+    marked = turns.select("conv_id", F.floor(F.col("turn") / SEGMENT).alias("segment"), "turn", "role", F.concat(F.coalesce(marker, F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
+    held = marked.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("held"))
+    return held.select("conv_id", "segment", F.col("held.role").alias("roles"), F.col("held.text").alias("texts"), F.array_join("held.text", "\n").alias("text"))
+
+
+@query("op6_chat_formatting")
+def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Roles of all conversations' raw transcripts, from their text alone, and canonical turns."""
+    raw = raw_transcripts(table(spark, folder, "conversations"))
+    model = fit_transcripts(raw)
+    parsed = parse_transcripts(raw.drop("texts"), model)
+    return parsed.select("conv_id", "segment", F.size("turns").cast("long").alias("n_turns"), F.col("turns.role").alias("found"), "roles", digest("rendered").alias("rendered_sha256"))
