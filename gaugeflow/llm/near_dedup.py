@@ -6,8 +6,10 @@ level reached, mostly after two or three levels. Here all texts of a chunk go th
 together, which gives the same signatures as one element after the other.
 
 Banding finds candidates. Each bucket first compares its members with its smallest document;
-only members that are still in different groups after that are compared with each other, if
-the shingles that each has alone leave room for it, by signature and then on full sets.
+only members that are still in different groups after that are compared with each other. Two
+exact bounds, on shingles that a text has alone and on parity bits of its set, hold back pairs
+that cannot be alike before any row is made of them; the others are compared by signature and
+then on full sets.
 Union-find groups the confirmed links.
 """
 
@@ -29,6 +31,7 @@ SLOTS = BANDS * ROWS
 _FEW = 8  # levels for which no permutation is written out
 # Estimates from 512 slots are off by 0.018 (one sigma) at 0.8; 0.1 less loses one link in 50 million.
 MARGIN = 0.1
+PARITY = 16  # longs of parity bits a set; beyond some 1,200 shingles they fill up and hold back little
 FEW_IDS = 500_000  # document ids that are broadcast, 4 MB; more are joined by a shuffle
 
 
@@ -96,7 +99,16 @@ def _swap(order: np.ndarray, k: np.ndarray, level: int) -> None:
     order[at, level] = held
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary())])
+def parity_bits(value: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(rows, PARITY) words; each element flips one bit, so two sets differ in as many elements as bits, or more."""
+    out = np.zeros((len(count), PARITY), np.uint64)
+    bit = mix(value ^ np.uint64(0x3C)) & np.uint64(64 * PARITY - 1)
+    row = np.repeat(np.arange(len(count)), count)
+    np.bitwise_xor.at(out.reshape(-1), row * PARITY + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary()), ("parity", pa.list_(pa.int64()))])
 
 
 def _sketch_of(width: int):
@@ -108,7 +120,7 @@ def _sketch_of(width: int):
             at = np.concatenate([[0], np.cumsum(count)])
             sums = [np.concatenate([[0], np.cumsum(mix(value ^ np.uint64(s)))]).astype(np.uint64) for s in (0x51, 0xA3)]
             sets = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
-            yield batch(_SKETCH, rows.column("doc_id"), count, *sets, [x.tobytes() if n else None for x, n in zip(short, count)])
+            yield batch(_SKETCH, rows.column("doc_id"), count, *sets, [x.tobytes() if n else None for x, n in zip(short, count)], list(parity_bits(value, count).view(np.int64)))
 
     return work
 
@@ -185,24 +197,30 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, p
     return staged(own.select("a", "b", "text_a", "text_b").mapInArrow(_links_of(width, percent), "a long, b long"), f"{name}-links")
 
 
-def _apart(met: DataFrame, docs: DataFrame, width: int, percent: int, group: DataFrame) -> DataFrame:
-    """Members (key, doc, component, n, most) of the buckets that hold more than one component.
+def _apart(met: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, percent: int, group: DataFrame) -> DataFrame:
+    """Members (key, doc, component, n, most, parity words) of the buckets that hold more than one component.
 
     A text can share only the s of its n shingles that another of these texts has too. Sets of
     sizes n and m can then be alike to p percent only if p * (n + m) <= (100 + p) * s holds for
     either's s, which bounds m by `most`. If m is the smaller size, its own bound is at least n
     and so at least m: texts with many shingles of their own pair with others only.
+    No bound holds for a doc_id with several texts: its n, most and parity are null.
     """
     held = met.where("members > 2").join(group.withColumnRenamed("node", "doc"), "doc", "left")
     held = held.select("key", "doc", F.coalesce("component", "doc").alias("component"))
     mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     held = staged(held.join(mixed.select("key"), "key"), "apart")
-    each = _texts_of(docs, held.select(F.col("doc").alias("doc_id")).distinct(), "apart-ids").mapInArrow(_elements_of(width), "doc long, element long")
+    ids = held.select(F.col("doc").alias("doc_id")).distinct()
+    each = _texts_of(docs, ids, "apart-ids").mapInArrow(_elements_of(width), "doc long, element long")
     shared = each.groupBy("element").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"))
     own = shared.where("doc = other").groupBy("doc").agg(F.count("*").alias("own"))
-    sizes = each.groupBy("doc").agg(F.count("*").alias("n")).join(own, "doc", "left")
+    sets = sigs.join(ids.withColumnRenamed("doc_id", "doc"), "doc", "left_semi").groupBy("doc")
+    sets = sets.agg(*(f("n").alias(f"{c}n") for f, c in ((F.min, ""), (F.max, "hi_"))), *(f("parity").alias(f"{c}parity") for f, c in ((F.min, ""), (F.max, "hi_"))))
+    alone = F.expr("n = hi_n and parity = hi_parity")
+    sets = sets.select("doc", F.when(alone, F.col("n")).alias("n"), F.when(alone, F.col("parity")).alias("parity")).join(own, "doc", "left")
     most = F.expr(f"floor((100 + {percent}) * (n - coalesce(own, 0)) / {percent}) - n").cast("long")
-    return held.join(sizes.select("doc", "n", most.alias("most")), "doc").select("key", "doc", "component", "n", "most")
+    sizes = sets.select("doc", "n", most.alias("most"), *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)))
+    return held.join(sizes, "doc").select("key", "doc", "component", "n", "most", *(f"p{i}" for i in range(PARITY)))
 
 
 def group_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -217,14 +235,14 @@ def group_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     """
     parts(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = staged(docs.mapInArrow(_sketch_of(width), "doc_id long, n long, s1 long, s2 long, sig binary"), "sketches")
+    sketch = staged(docs.mapInArrow(_sketch_of(width), "doc_id long, n long, s1 long, s2 long, sig binary, parity array<long>"), "sketches")
     same = ["s1", "s2", "n"]
     full = sketch.where("n > 0 and doc_id is not null")
     # One document stands for all with the same set.
     reps = staged(full.groupBy(*same).agg(F.min("doc_id").alias("doc")), "sets")
     # (a doc_id with several texts has several signatures; each counts)
-    sigs = full.join(reps, same).where("doc = doc_id").select("doc", "sig")
-    entries = sigs.mapInArrow(_band_keys, "key long, doc long")
+    sigs = full.join(reps, same).where("doc = doc_id").select("doc", "sig", "n", "parity")
+    entries = sigs.select("doc", "sig").mapInArrow(_band_keys, "key long, doc long")
     hubs = entries.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("members")).where("members > 1")
     met = staged(entries.join(hubs, "key"), "buckets")
     star = met.where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
@@ -234,10 +252,14 @@ def group_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     several = named.groupBy("doc_id").agg(F.min("doc").alias("b"), F.max("doc").alias("a")).where("a <> b")
     several = named.join(several.select("doc_id", "b"), "doc_id").where("doc <> b").select(F.col("doc").alias("a"), "b")
     first = first.unionByName(several)
-    apart = _apart(met, docs, width, percent, components(first))
+    apart = _apart(met, sigs, docs, width, percent, components(first))
     # Of two documents that can be alike, the smaller is alike enough to itself (see _apart).
-    small = apart.where("n <= most").toDF("key", "b", "cb", "nb", "mb")
-    cross = apart.toDF("key", "a", "ca", "na", "ma").join(small, "key").where("a <> b and ca <> cb and nb <= na and na <= mb and nb <= ma")
+    small = apart.where("n is null or n <= most").toDF("key", "b", "cb", "nb", "mb", *(f"q{i}" for i in range(PARITY)))
+    apart = apart.toDF("key", "a", "ca", "na", "ma", *(f"p{i}" for i in range(PARITY)))
+    # Sets of n and m elements that are alike to p percent differ in (100 - p) / (100 + p) * (n + m) elements at most.
+    differ = " + ".join(f"bit_count(p{i} ^ q{i})" for i in range(PARITY))
+    fits = f"nb <= na and na <= mb and nb <= ma and {100 + percent} * ({differ}) <= {100 - percent} * (na + nb)"
+    cross = apart.join(small, "key").where(f"a <> b and ca <> cb and (na is null or nb is null or ({fits}))")
     cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     group = components(first.unionByName(_confirmed(cross, sigs, docs, width, percent, "cross")))
     placed = sketch.join(reps.select(*same, "doc"), same, "left").join(group.withColumnRenamed("node", "doc"), "doc", "left")
