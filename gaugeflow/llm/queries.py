@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.decontamination import find_contamination
+from gaugeflow.llm.fingerprints import fingerprint_documents
 from gaugeflow.llm.line_dedup import dedup_lines
 from gaugeflow.llm.near_dedup import group_near_duplicates
 from gaugeflow.llm.neighbours import nearest
@@ -216,3 +217,9 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     model = fit_transcripts(raw)
     parsed = parse_transcripts(raw.drop("texts"), model)
     return parsed.select("conv_id", "segment", F.size("turns").cast("long").alias("n_turns"), F.col("turns.role").alias("found"), "roles", digest("rendered").alias("rendered_sha256"))
+
+
+@query("op13_document_fingerprints")
+def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts, and likeness by equal slots."""
+    return fingerprint_documents(table(spark, folder, "documents"))
