@@ -16,6 +16,7 @@ from gaugeflow.llm.packed import table
 from gaugeflow.llm.packing import pack
 from gaugeflow.llm.passages import fuzzy_passages
 from gaugeflow.llm.quality import fit, score_quality
+from gaugeflow.llm.resampling import resample
 from gaugeflow.llm.substring_array import remove_repeats
 from gaugeflow.llm.transcripts import fit as fit_transcripts
 from gaugeflow.llm.transcripts import parse_transcripts
@@ -223,3 +224,40 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, and likeness by equal slots."""
     return fingerprint_documents(table(spark, folder, "documents"))
+
+
+OP12_SQL = rf"""
+WITH steps AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t
+), split AS (
+  SELECT doc_id AS id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, FALSE AS wanted FROM documents
+  UNION ALL SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), TRUE FROM benchmark
+), features AS (
+  SELECT wanted, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM split
+), spelled AS (
+  SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM features)
+), hashed AS (
+  SELECT f, xor(list_reduce(list_transform(range(0, len(x), 2), lambda i: CAST('0x' || substr(x, CAST(i + 1 AS INTEGER), 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM spelled, steps
+), counted AS (
+  SELECT bucket, count(*) FILTER (WHERE NOT wanted) AS s, count(*) FILTER (WHERE wanted) AS t FROM features JOIN hashed USING (f) GROUP BY bucket
+), totals AS (SELECT sum(s) AS many, sum(t) AS aims FROM counted
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(many + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(aims + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM counted, totals
+), weights AS (
+  SELECT id, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+  FROM features JOIN hashed USING (f) JOIN gains USING (bucket) WHERE NOT wanted GROUP BY id
+), scored AS (
+  SELECT id AS doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM split LEFT JOIN weights USING (id) WHERE NOT wanted
+), placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
+@query("op12_importance_resampling", OP12_SQL)
+def importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """A quarter of all documents of at least 20 words, drawn towards the benchmark's texts."""
+    drawn = resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=25, min_words=20, seed=7)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
