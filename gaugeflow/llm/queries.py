@@ -21,6 +21,7 @@ from gaugeflow.llm.substring_array import remove_repeats
 from gaugeflow.llm.transcripts import fit as fit_transcripts
 from gaugeflow.llm.transcripts import parse_transcripts
 from gaugeflow.llm.url_filters import host_of, judge_urls
+from gaugeflow.llm.whitening import whiten
 from gaugeflow.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -261,3 +262,9 @@ def importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """A quarter of all documents of at least 20 words, drawn towards the benchmark's texts."""
     drawn = resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=25, min_words=20, seed=7)
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors on the 16 components of the widest spread, to unit variance."""
+    return whiten(table(spark, folder, "embeddings"), components=16)
