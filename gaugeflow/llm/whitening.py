@@ -286,7 +286,7 @@ def _whitened_of(models: dict[int, Whitener]):
                 share = np.maximum(m.values[:k], 0.0) / m.trace if m.trace > 0 else np.zeros(k)
                 total = len(own) * k
                 yield batch(
-                    _WHITE, np.repeat(rows.column("vec_id").to_numpy(zero_copy_only=False)[own], k), np.tile(np.arange(1, k + 1), len(own)),
+                    _WHITE, rows.column("vec_id").take(pa.array(np.repeat(own, k))), np.tile(np.arange(1, k + 1), len(own)),
                     np.full(total, m.n), pa.array([d for d in far for _ in range(k)], pa.int64()),
                     pa.array(white.ravel(), mask=np.tile(~some, len(own))), np.tile(share, len(own)), np.full(total, m.error),
                 )
