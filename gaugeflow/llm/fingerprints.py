@@ -6,51 +6,111 @@ is the quantised weight, and the word with the smallest c / exp(r (t - b + 1)) i
 with its t. Two texts agree in a slot with the probability of their generalised Jaccard similarity,
 the sum of the smaller weights over the sum of the larger ones.
 
+Spark's logarithm is strict and slow, so r and ln c are looked up: a table holds 2^14 pairs of
+quantiles of Gamma(2, 1), spread evenly over the square, and a word's hash picks one for a slot.
+A word with the same count in a text and in its edited text bids once for both.
+
 Texts cross the network once: ranges of ids are dealt to tasks, and the first row of each range is
 also dealt to the range before it, so that every row meets its successor there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLOTS = 64
+SLOTS, GROUP = 64, 8
 RANGES = 8  # ranges of ids for each task of a shuffle
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+DRAWS = 14  # bits of a hash that pick a pair of draws
+_SHAPE = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "lower": "abcdefghijklmnopqrstuvwxyz     "}
+_FINE = float(1 << 26)
 
 
 def words(text: Column) -> Column:
     """Runs without ASCII blanks, A-Z in lower case."""
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.filter(F.split(F.translate(text, _SHAPE["upper"], _SHAPE["lower"]), " "), lambda w: w != "")
+
 
+def _quantile(share: Column) -> Column:
+    """Of Gamma(2, 1): Newton steps for x - ln(1 + x) = -ln(1 - share)."""
+    e = -F.log1p(-share)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), e + F.sqrt(2 * e), lambda x, _: x - (x - F.log1p(x) - e) * (1 + x) / x)
 
-def _uniform(bits: Column, shift: int, width: int) -> Column:
-    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(0.5)) * F.lit(2.0**-width)
 
+def draws(spark: SparkSession) -> Column:
+    """An array of r (upper half of a long) and ln c + 16 (lower half), in 2^-26."""
+    n = 1 << DRAWS
+    mirrored = F.conv(F.reverse(F.lpad(F.bin("id"), DRAWS, "0")), 2, 10).cast("bigint")
+    r, c = (_quantile((x + 0.5) / n) for x in (F.col("id"), mirrored))
+    pair = F.call_function("shiftleft", F.round(r * _FINE).cast("bigint"), F.lit(32)).bitwiseOR(F.round((F.ln(c) + 16) * _FINE).cast("bigint"))
+    held = spark.range(n).select("id", pair.alias("pair")).agg(F.array_sort(F.collect_list(F.struct("id", "pair"))).alias("held"))
+    return held.select(F.transform("held", lambda x: x["pair"])).scalar()
 
-def sample(slot: int, word: Column, log_weight: Column) -> Column:
+
+def bid(slot: int, word: Column, log_weight: Column, pairs: Column) -> Column:
     """What a word bids for a slot: order in the upper half of a long, word and weight in the lower."""
-    first, second = F.xxhash64(word, F.lit(2 * slot)), F.xxhash64(word, F.lit(2 * slot + 1))
-    r = -F.ln(_uniform(first, 0, 32) * _uniform(first, 32, 32))
-    c = -F.ln(_uniform(second, 0, 21) * _uniform(second, 21, 21))
-    b = _uniform(second, 42, 22)
+    salt = int.from_bytes(hashlib.sha256(f"slot {slot}".encode()).digest()[:8], "big") >> 1
+    mixed = F.xxhash64(word.bitwiseXOR(F.lit(salt)))
+    pair = F.get(pairs, F.shiftrightunsigned(mixed, 64 - DRAWS).cast("int"))
+    r, log_c = F.shiftrightunsigned(pair, 32) / F.lit(_FINE), pair.bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(_FINE) - 16.0
+    b = mixed.bitwiseAND(F.lit((1 << 40) - 1)) * F.lit(2.0**-40)
     t = F.floor(log_weight / r + b)
-    order = F.floor((F.ln(c) - r * (t - b + 1.0) + F.lit(256.0)) * F.lit(float(1 << 22)))  # within 0 and 2^31
-    return F.call_function("shiftleft", order, F.lit(32)).bitwiseOR(F.xxhash64(word, t).bitwiseAND(F.lit(0xFFFFFFFF)))
+    order = F.floor((log_c - r * (t - b + 1.0) + 256.0) * F.lit(float(1 << 22)))  # within 0 and 2^31
+    return F.call_function("shiftleft", order, F.lit(32)).bitwiseOR(word.bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+OWN, EDITED, BOTH = 0, 1, 2
+
+
+def counted_words(rows: DataFrame, keys: list[str], text: Column, edited: Column) -> DataFrame:
+    """keys, _side, _word (a hash) and _n: the words of two texts with their counts, once for BOTH
+    where the counts are equal. A row without words has one row of nulls.
+
+    Hashes are sorted with the side in the lowest bit, so that each run of equal ones is a count
+    and the two sides of a word are neighbours; nothing is grouped across rows."""
+    own = F.transform(words(text), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)))
+    other = F.transform(words(edited), lambda w: F.xxhash64(w).bitwiseOR(F.lit(1)))
+    rows = rows.select(*keys, F.sort_array(F.concat(own, other)).alias("_all"))
+    last = F.transform("_all", lambda x, i: F.when(~x.eqNullSafe(F.get("_all", i + 1)), i))
+    rows = rows.select(*keys, "_all", F.array_compact(last).alias("_last"))
+    rows = rows.select(*keys, "_all", "_last", F.posexplode_outer("_last").alias("_j", "_e"))
+    before, after = F.coalesce(F.get("_last", F.col("_j") - 1), F.lit(-1)), F.get("_last", F.col("_j") + 1)
+    mark, n = F.get("_all", F.col("_e")), F.col("_e") - before
+    word, edited_side = mark.bitwiseAND(F.lit(-2)), mark.bitwiseAND(F.lit(1)) == 1
+    twin_after = (F.get("_all", F.col("_e") + 1) == mark.bitwiseOR(F.lit(1))) & (after - F.col("_e") == n)
+    twin_before = (F.get("_all", before) == word) & (before - F.coalesce(F.get("_last", F.col("_j") - 2), F.lit(-1)) == n)
+    both = F.when(edited_side, F.coalesce(twin_before, F.lit(False))).otherwise(F.coalesce(twin_after, F.lit(False)))
+    side = F.when(both, BOTH).when(edited_side, EDITED).otherwise(OWN)
+    return rows.where(F.col("_e").isNull() | ~(both & edited_side)).select(
+        *keys, F.when(F.col("_e").isNotNull(), side).alias("_side"), word.alias("_word"), n.alias("_n"))
+
+
+def signatures(rows: DataFrame, keys: list[str], text: Column, edited: Column, slots: int = SLOTS) -> DataFrame:
+    """`keys`, `signature` and `edited_signature` of each row: 32 bits for each slot, nulls for a text without words.
+
+    `slots` is a multiple of 8: a word has a row for each group of 8 slots, which keeps the compiled
+    code small. The keys must tell rows apart; rows already dealt by one of them are not dealt again."""
+    pairs = draws(rows.sparkSession)
+    weighed = counted_words(rows, keys, text, edited).select(*keys, "_side", "_word", F.ln("_n").alias("_weight"))
+    spread = weighed.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots // GROUP - 1))).alias("_group"))
+    spread = spread.select(*keys, "_side", "_group", F.xxhash64("_word", "_group").alias("_word"), "_weight")
+    bids = [F.min(bid(k, F.col("_word"), F.col("_weight"), pairs)).alias(f"_{k}") for k in range(GROUP)]
+    best = spread.groupBy(*keys, "_side", "_group").agg(*bids)
+    best = best.select(*keys, F.struct("_group", "_side", F.array(*[F.col(f"_{k}") for k in range(GROUP)]).alias("b")).alias("_best"))
+    held = best.groupBy(*keys).agg(F.array_sort(F.collect_list("_best")).alias("_held"))
+    none = F.array(*[F.lit(None).cast("bigint")] * slots)
 
+    def of(side: int) -> Column:
+        mine = F.flatten(F.transform(F.filter("_held", lambda x: x["_side"] == side), lambda x: x["b"]))
+        return F.when(F.size(mine) == slots, mine).otherwise(none)
 
-def signatures(rows: DataFrame, keys: list[str], text: Column, slots: int = SLOTS) -> DataFrame:
-    """`keys` and `signature`, 32 bits for each slot (nulls for a text without words), of each row.
+    def taken(side: int) -> Column:
+        least = F.zip_with(of(side), of(BOTH), lambda a, b: F.least(a, b))
+        return F.transform(least, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))
 
-    The keys must tell rows apart; rows already dealt by one of them are not dealt again."""
-    counted = rows.select(*keys, F.explode_outer(words(text)).alias("_word"))
-    counted = counted.select(*keys, F.when(F.col("_word").isNotNull(), F.xxhash64("_word")).alias("_word"))
-    counted = counted.groupBy(*keys, "_word").agg(F.count("_word").alias("_n"))
-    weighed = counted.select(*keys, "_word", F.ln(F.nullif("_n", F.lit(0))).alias("_weight"))
-    bids = [F.min(F.when(F.col("_word").isNotNull(), sample(k, F.col("_word"), F.col("_weight")))).alias(f"_{k}") for k in range(slots)]
-    taken = [F.col(f"_{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(slots)]
-    return weighed.groupBy(*keys).agg(*bids).select(*keys, F.array(*taken).alias("signature"))
+    return held.select(*keys, taken(OWN).alias("signature"), taken(EDITED).alias("edited_signature"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -109,18 +169,15 @@ def fingerprint_documents(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """
     rows = with_next(docs)
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next"), F.lit(1), half))
-    keys = ["_home", "_row", "_side"]
-    sides = F.array(F.struct(F.lit(0).alias("s"), F.col("text").alias("t")), F.struct(F.lit(1).alias("s"), edited.alias("t")))
-    sides = F.when(F.col("_own"), sides).otherwise(F.slice(sides, 1, 1))
-    texts = rows.select("_home", "_row", F.explode(sides).alias("_at")).select("_home", "_row", F.col("_at.s").alias("_side"), F.col("_at.t").alias("_text"))
-    signed = signatures(texts, keys, F.col("_text"), slots)
-    order = Window.partitionBy("_home").orderBy("_row", "_side")
-    met = signed.select(*keys, "signature", F.lead("signature", 1).over(order).alias("_edited"), F.lead("signature", 2).over(order).alias("_next")).where("_side = 0")
-    facts = rows.where("_own").select("doc_id", "_home", "_row", F.length("text").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next"), F.lit(1), half))
+    keys = ["_home", "_row"]
+    signed = signatures(rows, keys, F.col("text"), F.when(F.col("_own"), edited).otherwise(""), slots)
+    order = Window.partitionBy("_home").orderBy("_row")
+    met = signed.select(*keys, "signature", "edited_signature", F.lead("signature").over(order).alias("_next"))
+    facts = rows.where("_own").select("doc_id", *keys, F.length("text").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"))
     none = F.array(*[F.lit(None).cast("bigint")] * slots)
     following = F.when(F.col("doc_id").isNotNull(), F.col("_next")).otherwise(none)
-    return facts.join(met, ["_home", "_row"]).select(
-        "doc_id", "n_chars", "edited_sha256", hexed(F.col("signature")).alias("fingerprint"), hexed(F.col("_edited")).alias("edited_fingerprint"),
-        likeness(F.col("signature"), F.col("_edited")).alias("near_edited"), likeness(F.col("signature"), following).alias("near_next"),
+    return facts.join(met, keys).select(
+        "doc_id", "n_chars", "edited_sha256", hexed(F.col("signature")).alias("fingerprint"), hexed(F.col("edited_signature")).alias("edited_fingerprint"),
+        likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"), likeness(F.col("signature"), following).alias("near_next"),
     )
