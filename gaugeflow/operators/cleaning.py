@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,6 +158,8 @@ def detect_outliers(df: DataFrame, column: str = LEVEL) -> DataFrame:
     if lower is None:
         return df.withColumn("is_outlier", F.lit(False))
     reach = V.OUTLIER_IQR_FACTOR * (upper - lower)
+    if math.isnan(reach) or math.isnan(lower - reach) or math.isnan(upper + reach):
+        return df.withColumn("is_outlier", F.lit(False))  # both quartiles are infinite: there is no fence
     outside = (F.col(column) < lower - reach) | (F.col(column) > upper + reach)
     return df.withColumn("is_outlier", holds(outside))
 

@@ -53,7 +53,6 @@ def temporal_split(df: DataFrame, time: str = TIME, seq: str = SEQ) -> DataFrame
     with them, so the table is neither sorted nor shuffled.
     """
     rows = timed(df, time)
-    order = F.struct(F.col(US).cast("double").alias("u"), F.col(seq).cast("double").alias("s"))
     untimed_last = F.col(US).isNull()
     total = df.count()
     places = [int(total * share) for share in (V.TEMPORAL_TRAIN, V.TEMPORAL_VALIDATION)]
@@ -67,7 +66,8 @@ def temporal_split(df: DataFrame, time: str = TIME, seq: str = SEQ) -> DataFrame
             late = select_ranks(rows.filter(untimed_last), seq, lambda _: [place - with_time])[1][place - with_time]
             return untimed_last & (F.col(seq) >= late.value)
         u, s = borders[place]
-        return untimed_last | holds(order >= F.struct(F.lit(u).alias("u"), F.lit(s).alias("s")))
+        same = holds(F.col(US) == F.lit(u)) if s is None else holds((F.col(US) == F.lit(u)) & (F.col(seq) >= F.lit(s)))
+        return untimed_last | holds(F.col(US) > F.lit(u)) | same
 
     train_end, validation_end = places
     split = F.when(reached(validation_end), "test").when(reached(train_end), "validation").otherwise("train")

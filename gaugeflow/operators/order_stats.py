@@ -1,12 +1,16 @@
 """Exact order statistics without a global sort.
 
-A rank is located by counting rows in a few thousand bins of the value range and
-narrowing to the bin that holds it. Each pass reads one column and returns at
-most BINS small rows per open range, whatever the size or the skew of the data.
+Values are seen as whole numbers in the same order: a double as its 64 bits with the order of the
+negative ones turned round, a whole number as itself. A rank is then found digit by digit, as in a
+radix sort: each pass counts the next digits of the rows that share the digits found so far. The
+passes are six whatever the values are, infinities and neighbouring doubles included, and each
+returns at most 2^11 small rows per open rank.
 """
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,71 +18,79 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS = 4096
+SHIFTS = (53, 42, 31, 20, 9, 0)  # bits that are still open after each pass
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+_MOST = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
 class Ranked:
     """The value at a rank, rows strictly below it, rows equal to it."""
 
-    value: float
+    value: float | int
     below: int
     ties: int
 
 
-def _bin(value: Column, low: float, high: float) -> Column:
-    share = (value - F.lit(low)) / F.lit(high - low)
-    return F.least(F.lit(BINS - 1), F.floor(share * BINS).cast("int"))
+def image(value: Column, kind: str) -> Column:
+    """A long in the order of the values; NULL for NULL and NaN."""
+    if kind in _WHOLE:
+        return value.cast("bigint")
+    double = value.cast("double") + F.lit(0.0)  # -0.0 is 0.0
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), double).cast("bigint")
+    return F.when(value.isNotNull() & ~F.isnan(double), F.when(bits < 0, bits.bitwiseXOR(F.lit(_MOST))).otherwise(bits))
+
+
+def value_of(seen: int, kind: str) -> float | int:
+    """The value that has an image."""
+    if kind in _WHOLE:
+        return seen
+    return struct.unpack("<d", struct.pack("<q", seen if seen >= 0 else seen ^ _MOST))[0]
 
 
 def select_ranks(df: DataFrame, column: str, ranks: Callable[[int], list[int]]) -> tuple[int, dict[int, Ranked]]:
-    """(number of values, rank -> value) of the non-missing values of a column.
+    """(number of values, rank -> value) of the values of a column that are neither NULL nor NaN.
 
-    `ranks` names the wanted 0-based ranks for a given number of values. The one
-    narrow column is kept (memory, then disk) for the passes, so an expensive
-    input is evaluated once; a lost block is evaluated again from the input.
+    `ranks` names the wanted 0-based ranks for a given number of values. The one narrow column is
+    kept (memory, then disk) for the passes, so an expensive input is evaluated once; a lost block
+    is evaluated again from the input. Whole numbers stay whole: ids above 2^53 are told apart.
     """
-    value = F.col("_v")
-    rows = df.select(F.col(column).cast("double").alias("_v")).filter(value.isNotNull() & ~F.isnan(value))
+    kind = dict(df.dtypes)[column]
+    rows = df.select(image(F.col(column), kind).alias("_v")).filter(F.col("_v").isNotNull())
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        low, high, count = rows.agg(F.min("_v"), F.max("_v"), F.count("_v")).first()
+        count = rows.count()
+        open_ = {None: (0, sorted({r for r in ranks(count) if 0 <= r < count}))}  # digits -> rows below, wanted ranks
         found: dict[int, Ranked] = {}
-        todo = [(low, high, 0, count, [r for r in ranks(count) if 0 <= r < count])]
-        while todo:
-            for low, high, below, n, wanted in todo:
-                if low == high:
-                    found.update({r: Ranked(low, below, n) for r in wanted})
-            todo = _narrowed(rows, [t for t in todo if t[0] != t[1] and t[4]])
+        before = None
+        for shift in SHIFTS:
+            if not any(wanted for _, wanted in open_.values()):
+                break
+            digits = F.shiftright("_v", shift)
+            inside = F.lit(True) if before is None else F.shiftright("_v", before).isin(list(open_))
+            counted = rows.filter(inside).groupBy(digits.alias("p")).agg(F.count("_v").alias("n")).collect()
+            closer: dict = {}
+            for parent, (below, wanted) in open_.items():
+                own = [(r.p, r.n) for r in counted if before is None or r.p >> (before - shift) == parent]
+                for p, n in sorted(own):
+                    hits = [r for r in wanted if below <= r < below + n]
+                    if hits and shift:
+                        closer[p] = (below, hits)
+                    found.update({r: Ranked(value_of(p, kind), below, n) for r in hits if not shift})
+                    below += n
+            open_, before = closer, shift
         return count, found
     finally:
         rows.unpersist()
 
 
-def _narrowed(rows: DataFrame, spans: list[tuple]) -> list[tuple]:
-    """Replace each open span by its bins that hold wanted ranks; one pass for all spans."""
-    if not spans:
-        return []
-    which, slot = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for i, (low, high, *_) in enumerate(spans):
-        inside = F.col("_v").between(low, high)
-        which = F.when(inside, i).otherwise(which)
-        slot = F.when(inside, _bin(F.col("_v"), low, high)).otherwise(slot)
-    bins = (
-        rows.select(which.alias("span"), slot.alias("slot"), "_v")
-        .filter(F.col("span").isNotNull())
-        .groupBy("span", "slot")
-        .agg(F.count("_v").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
-        .collect()
-    )
-    closer = []
-    for i, (_, _, below, _, wanted) in enumerate(spans):
-        for b in sorted((b for b in bins if b["span"] == i), key=lambda b: b["slot"]):
-            hits = [r for r in wanted if below <= r < below + b["n"]]
-            if hits:
-                closer.append((b["low"], b["high"], below, b["n"], hits))
-            below += b["n"]
-    return closer
+def _between(low: float, high: float, share: float) -> float:
+    if share == 0 or low == high:
+        return low
+    span = high - low
+    if math.isinf(span) and math.isfinite(low) and math.isfinite(high):
+        return low * (1 - share) + high * share
+    return low + span * share
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
@@ -91,24 +103,20 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[flo
     count, at = select_ranks(df, column, around)
     if count == 0:
         return [None] * len(shares)
-    out = []
-    for place in ((count - 1) * share for share in shares):
-        low, high = at[int(place)].value, at[min(int(place) + 1, count - 1)].value
-        out.append(low + (high - low) * (place - int(place)))
-    return out
+    places = [(count - 1) * share for share in shares]
+    return [_between(float(at[int(p)].value), float(at[min(int(p) + 1, count - 1)].value), p - int(p)) for p in places]
 
 
-def rows_at_ranks(df: DataFrame, first: str, second: str, ranks: list[int]) -> tuple[int, dict[int, tuple[float, float]]]:
-    """(rows with a value, rank -> (first, second)) in the order by both columns.
+def rows_at_ranks(df: DataFrame, first: str, second: str, ranks: list[int]) -> tuple[int, dict[int, tuple]]:
+    """(rows with a value, rank -> (first, second)) in the order by both columns; `second` is unique.
 
-    Both columns must be numbers a double holds exactly; `second` is unique. It is
-    looked up only among rows that share the value of `first`; where that is one
-    row, minus infinity stands for it.
+    `second` is looked up only among rows that share the value of `first`; where that is one row,
+    None stands for it.
     """
     count, hits = select_ranks(df, first, lambda _: ranks)
     out = {}
     for rank, hit in hits.items():
-        place, at = rank - hit.below, float("-inf")
+        place, at = rank - hit.below, None
         if hit.ties > 1:
             peers = df.filter(F.col(first) == F.lit(hit.value))
             at = select_ranks(peers, second, lambda _, p=place: [p])[1][place].value
