@@ -81,7 +81,6 @@ MODEL_NAMES = ("risk_regressor", "warning_classifier", "risk_tier_classifier")
 
 # --- snapshots ------------------------------------------------------------------
 FORECAST_TTL_HOURS = 3
-CYCLE_HISTORY_DAYS = 7
 OBSERVED_TTL_HOURS = 24
 
 # --- horizons: rainfall divisor and largest uplift ---------------------------------

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from gaugeflow.operators import hydro_features as H
 from gaugeflow.registry.catalog import MOMENT, Tables, at, query
+from gaugeflow.session import shared_folder
+from gaugeflow.streaming.cycles import cycle_features
 
 OLD = """
 aged AS (SELECT *, last_value(struct_pack(v := current_level)) OVER (PARTITION BY station_id ORDER BY observation_time
@@ -129,3 +131,36 @@ HYDRO_DOUBLES = ("current_level distance_to_warning distance_to_danger rate_of_r
 @query("hydro_features", "WITH " + HYDRO + " SELECT * EXCLUDE (observation_time) FROM hydro", ["obs", "station_dim"], HYDRO_DOUBLES)
 def _(t: Tables):
     return H.hydro_features(t.obs, t.station_dim, as_of=at(), hot=t.hot).drop("observation_time")
+
+
+# Readings arrive in four cycles: three stretches of time, and a last one of readings that come late.
+CYCLE = ("CASE WHEN obs_seq % 50 = 0 THEN 3 WHEN observation_time < TIMESTAMP '2024-01-08 00:00:00' THEN 0 "
+         "WHEN observation_time < TIMESTAMP '2024-01-20 00:00:00' THEN 1 ELSE 2 END")
+SEEN = f"""
+seen AS (SELECT *, row_number() OVER (PARTITION BY upto, station_id ORDER BY observation_time NULLS LAST, obs_seq) AS i
+ FROM (SELECT *, {CYCLE} AS cycle FROM obs) JOIN (SELECT unnest([0, 1, 2, 3]) AS upto) ON cycle <= upto),
+around AS (SELECT *, last_value(CASE WHEN current_level IS NOT NULL THEN i END IGNORE NULLS) OVER b AS li, last_value(current_level IGNORE NULLS) OVER b AS lv,
+ first_value(CASE WHEN current_level IS NOT NULL THEN i END IGNORE NULLS) OVER a AS hi, first_value(current_level IGNORE NULLS) OVER a AS hv FROM seen
+ WINDOW b AS (PARTITION BY upto, station_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+ a AS (PARTITION BY upto, station_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+filled AS (SELECT upto, cycle, station_id, obs_seq, observation_time, trend, warning_level, danger_level, CASE WHEN current_level IS NOT NULL THEN current_level
+ WHEN li IS NOT NULL AND hi IS NOT NULL THEN lv + (hv - lv) * ((i - li) / CAST(hi - li AS DOUBLE)) ELSE coalesce(lv, hv) END AS x FROM around),
+known AS (SELECT f.*, basin, rank() OVER (PARTITION BY upto, f.station_id ORDER BY x NULLS LAST) - 1 AS below, count(*) OVER (PARTITION BY upto, f.station_id) AS n,
+ stddev_samp(x) OVER (PARTITION BY upto, f.station_id) AS spread, avg(x) OVER (PARTITION BY upto, basin) AS mean_of_basin,
+ last_value(struct_pack(v := x)) OVER (PARTITION BY upto, f.station_id ORDER BY observation_time RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 3 HOURS PRECEDING).v AS old
+ FROM filled f LEFT JOIN station_dim s ON f.station_id = s.station_id)"""
+
+
+@query("cycle_features", f"""WITH {SEEN}
+SELECT obs_seq, station_id, x AS current_level, warning_level - x AS distance_to_warning, danger_level - x AS distance_to_danger,
+ CASE WHEN x > old THEN (x - old) / 3 ELSE 0e0 END AS rate_of_rise_3h, {RISING} AS consecutive_rising_hours,
+ CASE WHEN n < 2 THEN 50e0 WHEN x IS NULL THEN 0e0 ELSE below / CAST(n AS DOUBLE) * 100 END AS historical_percentile,
+ CASE WHEN basin IS NOT NULL THEN mean_of_basin END AS basin_avg_level, coalesce(spread, 0e0) AS station_volatility,
+ {AGE} AS hours_since_last_update, {SEASON} AS seasonal_factor FROM known WHERE cycle = upto""", ["obs", "station_dim"], HYDRO_DOUBLES)
+def _(t: Tables):
+    """Each reading's features when its cycle ran, carried over from cycle to cycle by the station state."""
+    root, rows, out = shared_folder(t.spark, "cycle-features"), t.obs.withColumn("_cycle", F.expr(CYCLE)), None
+    for cycle in range(4):
+        features = cycle_features(rows.filter(F.col("_cycle") == cycle).drop("_cycle"), cycle, root, t.station_dim, at()).drop("observation_time")
+        out = features if out is None else out.unionByName(features)
+    return out
