@@ -21,6 +21,7 @@ from gaugeflow.operators import metrics as M
 from gaugeflow.operators.labels import fill_features, label_noise
 from gaugeflow.operators.ordered import KEY, TIME
 from gaugeflow.operators.scoring import score_all
+from gaugeflow.plans.softmax_boosting import fit_softmax
 from gaugeflow.session import use_checkpoints
 
 
@@ -39,6 +40,7 @@ class Settings:
     seed: int = V.SEED
     regressor: str = "gradient_boosting"
     warning: str = "gradient_boosting"
+    tiers: str = "one_vs_rest"  # or "softmax": one model of all tiers, which needs more and smaller jobs
     noise: float = 0.0
 
 
@@ -67,7 +69,20 @@ def warning_classifier(s: Settings, train_rows: int):
     return _boosted(GBTClassifier, s, labelCol="warning_label")
 
 
+class _Softmax:
+    """The one model of all tiers, with the face of an estimator."""
+
+    def __init__(self, s: Settings):
+        self.s = s
+
+    def fit(self, rows: DataFrame) -> PipelineModel:
+        s = self.s
+        return PipelineModel(fit_softmax(rows, "risk_tier", len(V.TIER_NAMES), s.trees, s.depth, s.leaf_rows, s.row_share, s.rate, s.seed))
+
+
 def tier_classifier(s: Settings):
+    if s.tiers == "softmax":
+        return _Softmax(s)
     return OneVsRest(
         classifier=_boosted(GBTClassifier, s, labelCol="risk_tier"), featuresCol="features", labelCol="risk_tier", parallelism=3
     )
@@ -138,9 +153,9 @@ def evaluate(labelled: DataFrame, models: dict[str, PipelineModel]) -> dict[str,
 
 
 def importances(model: PipelineModel) -> dict[str, float]:
-    """Feature to importance; one-vs-rest models are averaged over their members."""
+    """Feature to importance; models of several parts (one-vs-rest, softmax) are averaged over them."""
     names, last = model.stages[0].getInputCols(), model.stages[-1]
-    parts = last.models if hasattr(last, "models") else [last]
+    parts = last.models if hasattr(last, "models") else last.stages[:-1] if isinstance(last, PipelineModel) else [last]
     if not all(hasattr(p, "featureImportances") for p in parts):
         return {}
     vectors = [p.featureImportances.toArray() for p in parts]

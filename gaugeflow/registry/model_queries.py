@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from gaugeflow.operators import documents as D, explain as X, hydro_features as H, labels as L, scoring as S
+from gaugeflow import fixed_values as V
+from gaugeflow.operators import cleaning as C, documents as D, explain as X, hydro_features as H, labels as L, scoring as S
 from gaugeflow.plans import training as T
 from gaugeflow.plans.runs import explained_run, full_run, inference_run
 from gaugeflow.registry.catalog import Tables, at, query
@@ -10,22 +11,26 @@ from gaugeflow.registry.fixtures import observations_of
 from gaugeflow.session import shared_folder
 from gaugeflow.streaming.cycles import CyclePlan, start_cycles
 
-# Small models keep the registered runs short; the library default is 100 trees.
-QUICK = T.Settings(trees=5, depth=3)
-FEATURES = ("current_level", "distance_to_warning", "distance_to_danger", "rate_of_rise_3h", "consecutive_rising_hours", "station_volatility")
+FEATURES = V.HYDRO_FEATURES
 IDENTITY = ("station_id", "observation_time", "obs_seq")
 
 _models: dict = {}
+_labelled: dict = {}
 
 
 def labelled(t: Tables):
-    """Labelled readings with the features that need no station table."""
-    rows = H.station_volatility(H.rate_of_rise(H.distances(t.obs), hot=t.hot), hot=t.hot)
-    rows = rows.withColumn("consecutive_rising_hours", H.rising_hours(F.col("trend")))
-    return L.random_split(L.create_labels(rows), identity=IDENTITY)
-
-
-def models(t: Tables, settings: T.Settings = QUICK, which=("risk_regressor", "warning_classifier", "risk_tier_classifier")) -> dict:
+    """Cleaned readings with all hydrological features, labels and a split; derived and written once per folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _labelled:
+        rows = H.hydro_features(C.clean(t.obs, hot=t.hot), t.station_dim, as_of=at(), hot=t.hot)
+        path = shared_folder(t.spark, "labelled")
+        L.random_split(L.create_labels(rows), identity=IDENTITY).write.parquet(path)
+        _labelled[key] = path
+    return t.spark.read.parquet(_labelled[key])
+
+
+def models(t: Tables, settings: T.Settings = T.Settings(), which=V.MODEL_NAMES) -> dict:
+    """Models of full size, fitted once per folder and settings."""
     key = (t.spark.sparkContext.applicationId, t.folder, settings)
     fitted = _models.setdefault(key, {})
     missing = [n for n in which if n not in fitted]
@@ -41,7 +46,7 @@ def _(t: Tables):
 
 @query("risk_regression_forest")
 def _(t: Tables):
-    fitted = models(t, T.Settings(trees=10, regressor="random_forest"), ("risk_regressor",))
+    fitted = models(t, T.Settings(regressor="random_forest"), ("risk_regressor",))
     return S.score_all(labelled(t), fitted).select("obs_seq", "risk_score", "risk_level")
 
 
@@ -62,6 +67,13 @@ def _(t: Tables):
     return S.score_all(labelled(t), models(t, which=("risk_tier_classifier",))).select("obs_seq", "risk_tier", "risk_tier_name")
 
 
+@query("tier_classification_softmax")
+def _(t: Tables):
+    """Tiers by one boosted model of all three, instead of one model for each against the rest."""
+    fitted = models(t, T.Settings(tiers="softmax"), ("risk_tier_classifier",))
+    return S.score_all(labelled(t), fitted).select("obs_seq", "risk_tier", "risk_tier_name")
+
+
 @query("model_quality")
 def _(t: Tables):
     reports = T.evaluate(labelled(t), models(t))
@@ -95,7 +107,8 @@ def _(t: Tables):
 def _(t: Tables):
     fitted = models(t)
     rows = labelled(t).drop("risk_score", "risk_tier")
-    rows = S.score_all(rows, fitted).join(rows.select("obs_seq", "consecutive_rising_hours", "station_volatility"), "obs_seq")
+    scored = S.score_all(rows, fitted)
+    rows = scored.join(rows.select("obs_seq", *[c for c in FEATURES if c not in scored.columns]), "obs_seq")
     return explained_run(rows, fitted).select("obs_seq", F.col("risk_score_explained.summary").alias("score_summary"),
                                               F.col("warning_explained.summary").alias("warning_summary"), F.col("risk_tier_explained.summary").alias("tier_summary"))
 
@@ -111,7 +124,7 @@ def _(t: Tables):
 def _(t: Tables):
     """Clean, derive, train, score, alert and write everything; the run's record counts."""
     root = shared_folder(t.spark, "complete-run")
-    return full_run(t.obs, t.station_dim, t.weather, at(), root, "r1", QUICK, hot=t.hot).status
+    return full_run(t.obs, t.station_dim, t.weather, at(), root, "r1", hot=t.hot).status
 
 
 @query("streamed_cycles")

@@ -118,7 +118,8 @@ def test_inference_run_and_explanations(t, fitted):
     features = rows.drop("risk_score", "risk_tier", "warning_label", "split")
     predictions, alerts = runs.inference_run(features, models, t.station_dim, at())
     assert alerts.count() == A.assess(predictions).filter("alert_triggered").count()
-    explained = runs.explained_run(predictions.join(features.select("obs_seq", "consecutive_rising_hours", "station_volatility"), "obs_seq"), models)
+    rest = [c for c in FEATURES if c not in predictions.columns]
+    explained = runs.explained_run(predictions.join(features.select("obs_seq", *rest), "obs_seq"), models)
     row = explained.first()
     assert len(row.risk_score_explained.top_factors) == 5 and row.risk_tier_explained.summary
 
