@@ -15,6 +15,7 @@ from gaugeflow.operators.ordered import (
     find_hot, running, slice_in_order, slices_for, time_order, timed,
 )
 from gaugeflow.operators.stations import one_per_station
+from gaugeflow.session import use_checkpoints
 
 HOUR_US = 3_600_000_000
 
@@ -262,30 +263,52 @@ def basin_average(df: DataFrame, stations: DataFrame | None = None) -> DataFrame
     return attach(df.drop("basin_avg_level"), means, "basin", sized_by=named)
 
 
-def rolling_average(df: DataFrame, seq: str = SEQ, width: int = 3, parts: int | None = None) -> DataFrame:
-    """Mean of the last `width` rows in table order (station, time), across station borders.
-
-    The table is range-partitioned in that order; each slice also gets the last
-    rows of what precedes it, so no single task sees the whole table.
+def _two_before(df: DataFrame, lane: Lane, seq: str) -> DataFrame:
+    """_p1, _p2: the levels one and two rows back in the station, in structs, so that a missing level is told from no row."""
+    rows = df.withColumn("_v", F.struct(F.col(LEVEL).alias("v")))
+    rows = previous_level(rows, lane, "_v", seq, "_p1")
+    return previous_level(rows, lane, "_p1", seq, "_p2").drop("_v")
+
+
+def _before_station(rows: DataFrame, seq: str) -> DataFrame:
+    """For each station the levels of the two rows before its first in table order: _q1, _q2.
+
+    Works on the last two rows of each station only, in slices with their borders carried over."""
+    place = F.struct(F.col(US).isNull().alias("n"), F.col(US).alias("u"), F.col(seq).alias("s"), F.struct(F.col(LEVEL).alias("v")).alias("_v"), F.col("_p1"))
+    last = rows.groupBy(KEY).agg(F.max(place).alias("_l")).select(KEY, F.col("_l._v").alias("_e1"), F.col("_l._p1").alias("_e2")).checkpoint()
+    sliced = slice_in_order(last, slices_for(rows.sparkSession, last.count()), F.col(KEY).asc_nulls_last())
+    # The last two stations of a slice stand for all that a later station can need of it.
+    newest = Window.partitionBy("_slice").orderBy(F.col(KEY).desc_nulls_first())
+    ends = sliced.withColumn("_back", F.row_number().over(newest)).filter("_back <= 2")
+    numbered_ends = ends.withColumn("_no", F.row_number().over(Window.orderBy(F.col("_slice"), F.col("_back").desc())))  # two rows per slice
+    first = numbered_ends.groupBy("_slice").agg(F.min("_no").alias("_first"))
+    wanted = first.select("_slice", F.explode(F.sequence(F.col("_first") - 2, F.col("_first") - 1)).alias("_no"))
+    ghosts = wanted.join(F.broadcast(numbered_ends.select("_no", "_e1", "_e2")), "_no").withColumnRenamed("_no", "_ghost")
+    both = sliced.withColumn("_ghost", F.lit(None).cast("int")).unionByName(ghosts, allowMissingColumns=True)
+    order = Window.partitionBy("_slice").orderBy(F.col("_ghost").asc_nulls_last(), F.col(KEY).asc_nulls_last())
+    one, two = (F.lag(F.struct("_e1", "_e2"), i).over(order) for i in (1, 2))
+    both = both.withColumns({"_q1": one["_e1"], "_q2": F.when(one["_e2"].isNotNull(), one["_e2"]).otherwise(two["_e1"])})
+    return both.filter(F.col("_ghost").isNull()).select(F.col(KEY).alias("_k"), "_q1", "_q2")
+
+
+def rolling_average(df: DataFrame, seq: str = SEQ, hot: HotKeys | None = None) -> DataFrame:
+    """Mean of the last three rows in table order (station, time), across station borders.
+
+    Rows look two rows back in their station; a station's first two rows also see the last rows of
+    the stations before it, which come from a table of one row per station. Readings are never
+    sorted across stations.
     """
-    parts = parts or slices_for(df.sparkSession, df.count())
-    order = [F.col(KEY).asc_nulls_last(), *time_order(seq)]
-    rows = slice_in_order(timed(df), parts, *order)
-    newest = Window.partitionBy("_slice").orderBy(F.col(KEY).desc_nulls_first(), F.col(US).desc_nulls_first(), F.col(seq).desc_nulls_first())
-    # At most (width - 1) rows per slice from here on: bounded by the slice count.
-    tails = rows.withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") < width).select(
-        "_slice", "_back", F.col(LEVEL).alias("_tail_level")
-    )
-    tails = tails.withColumn("_no", F.row_number().over(Window.orderBy(F.col("_slice"), F.col("_back").desc())))
-    starts = tails.groupBy("_slice").agg(F.min("_no").alias("_first"))
-    wanted = starts.select("_slice", F.explode(F.sequence(F.col("_first") - (width - 1), F.col("_first") - 1)).alias("_no"))
-    ghosts = wanted.join(F.broadcast(tails.drop("_slice")), "_no").select(
-        "_slice", F.col("_no").alias("_ghost"), F.col("_tail_level").alias(LEVEL)
-    )
-    both = rows.withColumn("_ghost", F.lit(None).cast("int")).unionByName(ghosts, allowMissingColumns=True)
-    last = Window.partitionBy("_slice").orderBy(F.col("_ghost").asc_nulls_last(), *order).rowsBetween(-(width - 1), 0)
-    averaged = both.withColumn("basin_avg_level", F.avg(LEVEL).over(last))
-    return averaged.filter(F.col("_ghost").isNull()).drop("_ghost", "_slice", US)
+    use_checkpoints(df.sparkSession)
+    rows = per_station(timed(df), [Step(_two_before, {"seq": seq})], hot=hot)
+    borders = _before_station(rows, seq)
+    rows = rows.join(borders, F.col(KEY).eqNullSafe(F.col("_k")), "left").drop("_k")
+    back1 = F.coalesce(F.col("_p1"), F.col("_q1"))
+    back2 = F.when(F.col("_p2").isNotNull(), F.col("_p2")).when(F.col("_p1").isNotNull(), F.col("_q1")).otherwise(F.col("_q2"))
+    levels = [back2["v"], back1["v"], F.col(LEVEL)]
+    total = sum((F.coalesce(x, F.lit(0.0)) for x in levels[1:]), F.coalesce(levels[0], F.lit(0.0)))
+    known = sum((x.isNotNull().cast("int") for x in levels[1:]), levels[0].isNotNull().cast("int"))
+    mean = F.when(known > 0, total / known)
+    return rows.withColumn("basin_avg_level", mean).drop("_p1", "_p2", "_q1", "_q2", US)
 
 
 # --- time ------------------------------------------------------------------------------------
@@ -322,7 +345,7 @@ def hydro_features(
     dimension = stations if stations is not None and "basin" in stations.columns else None
     if dimension is not None:
         rows = with_station_columns(rows, dimension, ["basin"])
-    rows = basin_average(rows, dimension) if "basin" in rows.columns else rolling_average(rows, seq)
+    rows = basin_average(rows, dimension) if "basin" in rows.columns else rolling_average(rows, seq, hot)
     trend = F.col("trend") if "trend" in rows.columns else F.lit("unknown")
     if f"rate_of_rise_{rate_hours}h" != "rate_of_rise_3h":
         rows = rows.withColumnRenamed(f"rate_of_rise_{rate_hours}h", "rate_of_rise_3h")

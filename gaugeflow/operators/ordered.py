@@ -30,23 +30,31 @@ US = "_us"
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys above the row limit. At most total_rows / limit of them exist."""
+    """Keys above the row limit, as a side table `_hot` of at most total_rows / limit rows.
+
+    The driver knows their number and their rows only; tables are parted by joins with the side table.
+    """
 
     key: str
-    values: tuple = ()
+    table: DataFrame | None = None
+    count: int = 0
     rows: int = 0
     slice_rows: int = HOT_ROWS
 
-    def matches(self) -> Column:
-        present = [v for v in self.values if v is not None]
-        test = F.coalesce(F.col(self.key).isin(present), F.lit(False)) if present else F.lit(False)
-        return test | F.col(self.key).isNull() if None in self.values else test
+    def part(self, df: DataFrame, how: str) -> DataFrame:
+        """Rows of the hot keys (left_semi) or of all others (left_anti); a missing key is a key."""
+        side = F.broadcast(self.table) if self.count <= BROADCAST_ROWS else self.table
+        return df.join(side, F.col(self.key).eqNullSafe(F.col("_hot")), how)
 
 
-def find_hot(df: DataFrame, key: str = KEY, limit: int = HOT_ROWS) -> HotKeys:
-    """Count rows per key (combined map-side) and return the keys above the limit."""
-    heavy = df.groupBy(key).count().filter(F.col("count") > limit).collect()
-    return HotKeys(key, tuple(r[0] for r in heavy), sum(r[1] for r in heavy), limit)
+def find_hot(df: DataFrame, key: str = KEY, limit: int = HOT_ROWS, slice_rows: int | None = None) -> HotKeys:
+    """Count rows per key (combined map-side); keys above the limit are written as a side table."""
+    heavy = df.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    count, rows = heavy.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if not count:
+        return HotKeys(key)
+    use_checkpoints(df.sparkSession)
+    return HotKeys(key, heavy.select("_hot").checkpoint(), count, rows, slice_rows or limit)
 
 
 @dataclass(frozen=True)
@@ -75,24 +83,30 @@ class Lane:
         combine: Callable[[Column], Column],
         following: bool = False,
     ) -> DataFrame:
-        """Add what all earlier (or following) slices of the key hold.
+        """Add what all earlier (or following) slices of the key hold."""
+        summary = self.carried(df, name, per_slice, combine, following)
+        match = (F.col(self.key).eqNullSafe(F.col("_carry_key"))) & (F.col("_slice") == F.col("_carry_slice"))
+        return df.join(F.broadcast(summary), match, "left").drop("_carry_key", "_carry_slice")
 
-        One row per key and slice is aggregated, so the joined side has at most
-        parts + number of hot keys rows and is broadcast.
+    def carried(
+        self, df: DataFrame, name: str, per_slice: Column, combine: Callable[[Column], Column], following: bool = False
+    ) -> DataFrame:
+        """What earlier (or following) slices of a key hold, for the slices of keys that have any.
+
+        Slices are in the order of the keys: only the first key of a slice can have begun in an
+        earlier one, and only the last can go on. So there is at most one row for a slice, however
+        many keys there are, and the table can be broadcast.
         """
         border = F.col("_slice").desc() if following else F.col("_slice").asc()
-        others = Window.partitionBy(self.key).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
-        summary = (
-            df.groupBy(self.key, "_slice")
-            .agg(per_slice.alias("_own"))
-            .select(
-                F.col(self.key).alias("_carry_key"),
-                F.col("_slice").alias("_carry_slice"),
-                combine(F.col("_own")).over(others).alias(name),
-            )
+        ordered = Window.partitionBy(self.key).orderBy(border)
+        summary = df.groupBy(self.key, "_slice").agg(per_slice.alias("_own"))
+        placed = summary.select(
+            F.col(self.key).alias("_carry_key"),
+            F.col("_slice").alias("_carry_slice"),
+            combine(F.col("_own")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)).alias(name),
+            F.row_number().over(ordered).alias("_nth"),
         )
-        match = (F.col(self.key).eqNullSafe(F.col("_carry_key"))) & (F.col("_slice") == F.col("_carry_slice"))
-        return df.join(F.broadcast(summary), match, "left").drop("_carry_key", "_carry_slice")
+        return placed.filter(F.col("_nth") > 1).drop("_nth")
 
 
 def slice_in_order(df: DataFrame, parts: int, *order: Column) -> DataFrame:
@@ -132,11 +146,11 @@ def per_station(
             rows = step(rows, lane)
         return rows.drop("_slice")
 
-    if not hot.values:
+    if not hot.count:
         return through(df, Lane(key))
     parts = max(2, -(-2 * hot.rows // hot.slice_rows))
-    usual = through(df.filter(~hot.matches()), Lane(key))
-    heavy = through(df.filter(hot.matches()), Lane(key, parts))
+    usual = through(hot.part(df, "left_anti"), Lane(key))
+    heavy = through(hot.part(df, "left_semi"), Lane(key, parts))
     return usual.unionByName(heavy)
 
 

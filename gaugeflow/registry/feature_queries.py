@@ -88,7 +88,7 @@ def _(t: Tables):
 SELECT obs_seq, avg(current_level) OVER (ORDER BY station_id, observation_time NULLS LAST, obs_seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS basin_avg_level
 FROM obs""", ["obs"], "basin_avg_level")
 def _(t: Tables):
-    return H.rolling_average(t.obs).select("obs_seq", "basin_avg_level")
+    return H.rolling_average(t.obs, hot=t.hot).select("obs_seq", "basin_avg_level")
 
 
 @query("station_volatility", f"SELECT obs_seq, station_id, {VOLATILITY} AS station_volatility FROM obs", ["obs"], "station_volatility")

@@ -100,4 +100,4 @@ def test_bad_times_become_null(spark):
 def test_hot_keys_are_those_above_the_limit(spark):
     df = spark.range(100).select(F.when(F.col("id") < 60, 1).otherwise(F.col("id")).alias("station_id"))
     hot = find_hot(df, limit=10)
-    assert hot.values == (1,) and hot.rows == 60
+    assert [r[0] for r in hot.table.collect()] == [1] and (hot.count, hot.rows) == (1, 60)

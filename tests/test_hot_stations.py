@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeflow.operators import cleaning, hydro_features as hydro
-from gaugeflow.operators.ordered import find_hot
+from gaugeflow.operators.ordered import Lane, find_hot
 
 BASE = "obs_seq bigint, station_id bigint, observation_time timestamp, current_level double, warning_level double, danger_level double, trend string"
 
@@ -51,14 +51,36 @@ def collected(df):
 def test_sliced_lane_equals_whole_lane(spark, skewed, name):
     usual = CASES[name](skewed, find_hot(skewed, limit=10_000))
     hot = find_hot(skewed, limit=60)
-    assert hot.values and len(hot.values) < 7
+    assert 0 < hot.count < 7
     assert collected(CASES[name](skewed, hot)) == collected(usual)
 
 
-def test_rolling_average_does_not_depend_on_slices(skewed):
-    one = collected(hydro.rolling_average(skewed, parts=1))
-    assert collected(hydro.rolling_average(skewed, parts=9)) == one
-    assert collected(hydro.rolling_average(skewed, parts=300)) == one
+def test_rolling_average_equals_one_window(spark, skewed):
+    """Also over stations of one and two rows, which leave a place to the station before them."""
+    small = spark.range(30).select(
+        (F.col("id") + 5000).alias("obs_seq"), (F.col("id") * F.col("id") % 19 + 10).cast("bigint").alias("station_id"), F.timestamp_seconds("id").alias("observation_time"),
+        F.when(F.col("id") % 5 > 0, F.col("id") / 3.0).alias("current_level"))
+    rows = skewed.unionByName(small, allowMissingColumns=True).cache()
+    held = sorted(rows.collect(), key=lambda r: (r.station_id is None, r.station_id, r.observation_time is None, r.observation_time, r.obs_seq))
+    want = {}
+    for i, r in enumerate(held):
+        levels = [x.current_level for x in held[max(0, i - 2): i + 1] if x.current_level is not None]
+        want[r.obs_seq] = round(sum(levels) / len(levels), 7) if levels else None
+    for limit in (10_000, 60):
+        got = hydro.rolling_average(rows, hot=find_hot(rows, limit=limit)).collect()
+        assert {r.obs_seq: None if r.basin_avg_level is None else round(r.basin_avg_level, 7) for r in got} == want and len(got) == len(held)
+    assert "rangepartitioning(station_id" not in hydro.rolling_average(rows, hot=find_hot(rows, limit=10_000))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_carried_rows_are_at_most_one_for_a_slice(spark):
+    """However many keys there are: only a slice's first key can have begun earlier."""
+    keys = spark.range(3000).select((F.col("id") % 700).alias("k"), "id", F.lit(1).alias("one")).unionByName(
+        spark.range(5000).select(F.lit(350).cast("bigint").alias("k"), "id", F.lit(1).alias("one")))
+    lane = Lane("k", 24)
+    sliced, _ = lane.arrange(keys, F.col("id"))
+    for following in (False, True):
+        carried = lane.carried(sliced, "n", F.sum("one"), F.sum, following).collect()
+        assert 0 < len(carried) <= 24 and max(r.n for r in carried) > 3000
 
 
 def test_composite_features_hot_equals_usual(spark, skewed):
