@@ -139,7 +139,7 @@ def _counts_of(index):
     return work
 
 
-def _hits_of(index, schema: pa.Schema):
+def _hits_of(index, schema: pa.Schema, mark: str):
     """Adds what one block of windows hits to the columns that hold what earlier blocks hit."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +157,12 @@ def _hits_of(index, schema: pa.Schema):
                 for r, w in np.unique(np.stack([row, window], 1), axis=0) if len(at) else ():
                     items[r] = items[r] + held.items[held.item_ends[w] : held.item_ends[w + 1]].tolist()
             inside = np.cumsum(hit)[:-1] > 0
-            bits, before = [], rows.column("_hit").to_pylist()
+            bits, before = [], rows.column(mark).to_pylist()
             for old, a, b in zip(before, first[:-1], first[1:]):
                 own = np.packbits(inside[a:b])
                 bits.append((own | np.frombuffer(old, np.uint8) if old else own).tobytes())
             new = {
-                "n_words": np.diff(first), "_hit": bits, "items": [sorted(set(x)) for x in items],
+                "n_words": np.diff(first), mark: bits, "items": [sorted(set(x)) for x in items],
                 "n_hit": [int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum()) for b in bits],
             }
             yield batch(schema, *(new[n] if n in new else rows.column(n).cast(schema.field(n).type) for n in schema.names))
@@ -183,12 +183,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) ->
 
     spark = docs.sparkSession
     parts(spark)
-    new = ["n_words", "n_hit", "items", "contaminated", "_hit"]
+    mark = "_hit"  # the words hit so far, by a name the caller doesn't use
+    while mark in docs.columns:
+        mark += "_"
+    new = ["n_words", "n_hit", "items", "contaminated"]
     columns = [c for c in docs.columns if c not in new]
     texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     windows = staged(texts.mapInArrow(_windows_of(size), "window binary, item_id long"), "windows")
     blocks = -(-windows.select("window").distinct().count() // BLOCK)
-    added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.LongType())), T.StructField("_hit", T.BinaryType())]
+    added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.LongType())), T.StructField(mark, T.BinaryType())]
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in columns] + added)
     arrow = to_arrow_schema(schema)
     rows = docs.select(*columns, *(F.lit(None).cast(f.dataType).alias(f.name) for f in added))
@@ -205,7 +208,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) ->
                 counts[r.width][r.place] = r.n
             made.rarest(counts)
             index = spark.sparkContext.broadcast(made)
-        rows = rows.mapInArrow(_hits_of(index, arrow), schema)
+        rows = rows.mapInArrow(_hits_of(index, arrow, mark), schema)
         if i % PASSES == PASSES - 1:
             rows = staged(rows, "contamination")
-    return rows.drop("_hit").withColumn("contaminated", F.col("n_hit") > 0)
+    return rows.drop(mark).withColumn("contaminated", F.col("n_hit") > 0)

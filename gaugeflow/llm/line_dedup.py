@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,9 +121,10 @@ def _kept(min_chars: int, names: list[str], schema: pa.Schema):
                 n_lines.append(len(lines))
                 n_dropped.append(len(dropped))
             if mine:
-                whole = rows.take(pa.array(mine))
+                whole = rows.column("_rest").take(pa.array(mine))
                 new = {"text": out, "n_lines": n_lines, "n_dropped": n_dropped}
-                yield batch(schema, *(new[n] if n in new else whole.column(n).cast(schema.field(n).type) for n in names))
+                rest = {n: pc.struct_field(whole, [i]) for i, n in enumerate(n for n in names if n not in new)}
+                yield batch(schema, *(new[n] if n in new else rest[n].cast(schema.field(n).type) for n in names))
 
     return work
 
@@ -139,15 +141,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     spark = docs.sparkSession
     n = parts(spark)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    docs = docs.select(*columns)
+    docs = docs.drop("n_lines", "n_dropped")
     lines = docs.select(F.col("doc_id").cast("long").alias("id"), part_of("doc_id", n).alias("part"), "text")
     packed = "shard int, blob binary"
     counted = deal(lines.mapInArrow(_lines_of(min_chars, n), packed), n, "shard")
     found = counted.mapInArrow(_often(min_docs, n), packed)
     own = [F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), part_of("doc_id", n).alias("_part"), F.lit(None).cast("binary").alias("_blob")]
-    told = [F.lit(None).cast("long"), F.lit(None).cast("string"), F.col("shard"), F.col("blob")]
-    rest = [c for c in columns if c != "text"]
-    both = docs.select(*own, *rest).union(found.select(*told, *(F.lit(None).cast(docs.schema[c].dataType) for c in rest)))
+    rest = F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"])  # in one column, so that no name can clash
+    own_rows = docs.select(*own, rest.alias("_rest"))
+    told = [F.lit(None).cast("long"), F.lit(None).cast("string"), F.col("shard"), F.col("blob"), F.lit(None).cast(own_rows.schema["_rest"].dataType)]
+    both = own_rows.union(found.select(*told))
     names = [*columns, "n_lines", "n_dropped"]
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in columns] + [T.StructField(c, T.LongType()) for c in names[-2:]])
     from pyspark.sql.pandas.types import to_arrow_schema

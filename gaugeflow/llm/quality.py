@@ -145,11 +145,13 @@ def _crops_of(each: int):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 3000, each: int = 6, rounds: int = 24) -> Network:
     """Learn from at most `max_rows` labelled documents, chosen by a hash of their id, and at most
-    `each` evenly spaced chunks of each. Rows without id, label (0 or 1) or text teach nothing.
+    `each` evenly spaced chunks of each. Rows without id, label (0 or 1) or text and
+    ids with both labels teach nothing.
     Without any row the weights stay as drawn and every score is near one half."""
     parts(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).where("doc_id is not null and label in (0, 1)")
-    chosen = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_other")).where("label = _other").drop("_other")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     taught = texts.join(F.broadcast(chosen), "doc_id")  # at most max_rows rows
     held = taught.mapInArrow(_crops_of(each), "doc_id long, label int, crops binary, sizes array<int>").orderBy("doc_id").limit(max_rows).collect()

@@ -79,8 +79,8 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def held_out() -> F.Column:
-    """Rows whose labels nothing is learned from."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    """Rows whose labels nothing is learned from; rows without an id are not among them."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 @query("op3_quality_classifier")

@@ -84,8 +84,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed:
     wanted = F.array_append(fits, F.concat(F.lit("u|"), canonical(F.col("h"), F.col("p"))))
     hits = possible_hits(split.select("h", "p", F.explode(wanted).alias("key")), bloom_filter(keys)).join(keys, "key")
     best = hits.groupBy("h", "p").agg(F.max_by(F.struct("rule", "verdict"), F.struct("length", "rule")).alias("best"))
-    rows = pages.select(*columns, host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p")).join(best, ["h", "p"], "left")
+    # The caller's columns travel in one struct, so that none of their names can clash.
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_page"), host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p"))
+    rows = rows.join(best, ["h", "p"], "left")
     return rows.select(
-        *columns, F.col("h").alias("host"), F.col("p").alias("path"), F.col("best.rule").alias("rule"),
+        *[F.col("_page").getField(c).alias(c) for c in columns], F.col("h").alias("host"), F.col("p").alias("path"), F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit("allow")).alias("verdict"),
     )
