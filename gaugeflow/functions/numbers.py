@@ -31,14 +31,20 @@ def tier_word(score: Column, words: tuple[str, str, str], low_end: float, medium
     return F.when(score < low_end, words[0]).when(score < medium_end, words[1]).otherwise(words[2])
 
 
-def uniform(seed: int, *identity: Column) -> Column:
-    """A number in (0, 1) that depends only on the row's identity and the seed.
+def hashed_digits(seed: int, identity: tuple[Column, ...], digits: int) -> Column:
+    """A whole number of so many hexadecimal digits from the MD5 of the identity and the seed.
 
-    Unlike rand(seed) it does not change with partitioning, so a task that is
-    run again after an executor loss gives the same value.
+    The identity is written as text, parts joined by |, missing ones empty, so that another engine
+    can draw the same numbers. Unlike rand(seed) they do not change with partitioning: a task that
+    is run again after an executor loss gives the same values.
     """
-    bits = F.shiftrightunsigned(F.xxhash64(*identity, F.lit(seed)), 12)
-    return (bits.cast("double") + 0.5) / float(1 << 52)
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in identity], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("bigint")
+
+
+def uniform(seed: int, *identity: Column) -> Column:
+    """A number in (0, 1) that depends only on the row's identity and the seed."""
+    return (hashed_digits(seed, identity, 13).cast("double") + 0.5) / float(1 << 52)
 
 
 def gaussian(seed: int, *identity: Column) -> Column:

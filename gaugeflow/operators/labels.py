@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow import fixed_values as V
-from gaugeflow.functions.numbers import clip, gaussian, holds, with_totals
+from gaugeflow.functions.numbers import clip, gaussian, hashed_digits, holds, with_totals
 from gaugeflow.operators.order_stats import exact_quantiles, rows_at_ranks, select_ranks
 from gaugeflow.operators.ordered import KEY, SEQ, TIME, US, as_before, timed
 
@@ -42,7 +42,7 @@ def label_summary(labelled: DataFrame) -> DataFrame:
 
 def random_split(df: DataFrame, percent: int = V.TRAIN_PERCENT, seed: int = V.SEED, identity: Sequence[str] = (KEY, TIME)) -> DataFrame:
     """Add split = train / test by a hash of the row's identity, the same on every run."""
-    bucket = F.pmod(F.xxhash64(*identity, F.lit(seed)), F.lit(100))
+    bucket = hashed_digits(seed, tuple(F.col(c) for c in identity), 8) % 100
     return df.withColumn("split", F.when(bucket < percent, "train").otherwise("test"))
 
 

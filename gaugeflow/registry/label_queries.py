@@ -33,9 +33,24 @@ def _(t: Tables):
     return L.label_summary(_labelled(t))
 
 
-@query("random_split")
+def _digits(text: str, digits: int) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, {digits}) AS BIGINT)"
+
+
+def _normal(seed: int, *parts: str) -> str:
+    """Box-Muller on the SQL side, from the same two hashes."""
+    draw = {k: f"((CAST({_digits(' || '.join([*parts, f"'|{k}|{seed}'"]), 13)} AS DOUBLE) + 0.5) / 4503599627370496)" for k in ("radius", "angle")}
+    return f"sqrt(-2 * ln({draw['radius']})) * cos(2 * pi() * {draw['angle']})"
+
+
+def _split(source: str, *parts: str) -> str:
+    bucket = _digits(" || '|' || ".join(parts) + " || '|42'", 8)
+    return f"parted AS (SELECT *, CASE WHEN {bucket} % 100 < 80 THEN 'train' ELSE 'test' END AS split FROM {source})"
+
+
+@query("random_split", f"WITH {_split('obs', 'station_id', 'obs_seq')} SELECT obs_seq, split FROM parted", ["obs"])
 def _(t: Tables):
-    return L.random_split(t.obs).select("obs_seq", "split")
+    return L.random_split(t.obs, identity=("station_id", "obs_seq")).select("obs_seq", "split")
 
 
 @query("temporal_split", f"WITH {SPLIT} SELECT obs_seq, split FROM split", ["obs"])
@@ -57,15 +72,19 @@ def _(t: Tables):
     return rows.select("obs_seq", "split", "current_level", "warning_level")
 
 
-@query("feature_noise")
+@query("feature_noise", f"""WITH {_split('obs', 'obs_seq')}
+SELECT obs_seq, split, CASE WHEN split = 'train' THEN warning_level + 0.05 * ({_normal(42, 'obs_seq', "'|warning_level'")}) ELSE warning_level END AS warning_level
+FROM parted""", ["obs"], "warning_level")
 def _(t: Tables):
-    rows = L.feature_noise(L.random_split(t.obs), ["warning_level"], identity=["obs_seq"])
+    rows = L.feature_noise(L.random_split(t.obs, identity=["obs_seq"]), ["warning_level"], identity=["obs_seq"])
     return rows.select("obs_seq", "split", "warning_level")
 
 
-@query("label_noise")
+@query("label_noise", f"""WITH {_split('pred', 'obs_seq')}
+SELECT obs_seq, split, CASE WHEN split = 'train' THEN greatest(0e0, least(1e0, risk_score + 0.05 * ({_normal(43, 'obs_seq', "'|risk_score'")}))) ELSE risk_score END AS risk_score
+FROM parted""", ["pred"], "risk_score")
 def _(t: Tables):
-    rows = L.random_split(t.pred.withColumn("risk_score", F.col("risk_score")))
+    rows = L.random_split(t.pred, identity=["obs_seq"])
     return L.label_noise(rows, identity=["obs_seq"]).select("obs_seq", "split", "risk_score")
 
 
