@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,12 +71,34 @@ def read_documents(spark: SparkSession, path: str, whole_files: bool = False) ->
     return rows.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("json"))
 
 
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'  # outside of quotes
+
+
 def file_profile(spark: SparkSession, path: str) -> DataFrame:
-    """Rows and columns of each csv file below a path."""
-    rows = spark.read.option("header", True).csv(path)
-    return rows.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count(F.lit(1)).alias("records")).withColumn(
-        "columns", F.lit(len(rows.columns))
+    """file_name, valid, records, columns and error of each csv file below a path.
+
+    The listing is joined with what the lines of each file say, so every file has its row and its
+    own column count: a file without lines has no records and no columns, one with a record wider
+    than its header or with bytes that are no UTF-8 text has an error of its own and spoils no
+    other. Blank lines don't count; quotes may hold commas but no line breaks.
+    """
+    files = spark.read.option("pathGlobFilter", "*.csv").text(path)
+    # Scans skip files without bytes, so the names are those of the listing that any read makes.
+    listed = spark.createDataFrame([(unquote(f.rsplit("/", 1)[-1]),) for f in files.inputFiles()], "file_name string")
+    lines = files.select(
+        F.col("_metadata.file_name").alias("file_name"), "value", F.size(F.split("value", _COMMA)).alias("fields"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"))
+    seen = lines.filter(F.trim("value") != "").groupBy("file_name").agg(
+        F.count(F.lit(1)).alias("lines"), F.min_by("fields", "at").alias("columns"), F.max("fields").alias("widest"),
+        F.max(~F.is_valid_utf8("value")).alias("garbled"))
+    error = (
+        F.when(F.col("lines").isNull(), "no columns to read")
+        .when(F.col("garbled"), "not UTF-8 text")
+        .when(F.col("widest") > F.col("columns"), F.format_string("expected %d fields, saw %d", "columns", "widest"))
     )
+    return listed.join(seen, "file_name", "left").select(
+        "file_name", error.isNull().alias("valid"), F.coalesce(F.col("lines") - 1, F.lit(0)).alias("records"),
+        F.coalesce("columns", F.lit(0)).alias("columns"), error.alias("error"))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -35,6 +35,22 @@ def test_csv_observations(spark, tmp_path):
     assert tables.newest_file(spark, f"{tmp_path}/*.csv") == newest
 
 
+def test_each_csv_file_has_its_own_profile(spark, tmp_path):
+    for name, text in {
+        "a.csv": "x,y,z\n1,2,3\n\n4,5,6\n", "b.csv": 'p,"q,r"\n"a,b",2\n', "empty.csv": "", "blank.csv": "\n \n", "head.csv": "one,two",
+        "wide.csv": "x,y\n1,2\n1,2,3\n", "other.txt": "x\n1\n",
+    }.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "bytes.csv").write_bytes(b"x,y\n\xff\xfe,2\n")
+    (tmp_path / "long.csv").write_text("k,v\n" + "".join(f"{i},{i}\n" for i in range(5000)))
+    got = {r.file_name: (r.valid, r.records, r["columns"], r.error) for r in tables.file_profile(spark, str(tmp_path)).collect()}
+    assert got == {
+        "a.csv": (True, 2, 3, None), "b.csv": (True, 1, 2, None), "empty.csv": (False, 0, 0, "no columns to read"),
+        "blank.csv": (False, 0, 0, "no columns to read"), "head.csv": (True, 0, 2, None), "wide.csv": (False, 2, 2, "expected 2 fields, saw 3"),
+        "bytes.csv": (False, 1, 2, "not UTF-8 text"), "long.csv": (True, 5000, 2, None),
+    }
+
+
 def test_station_pages(spark):
     page = ("<TABLE><tr><td>head</td></tr><tr><td> s&amp;1 </td><td>n</td><td>r</td><td>b</td><td>st</td><td> 1.5 </td><td>2</td><td>3e0</td></tr>"
             "<tr><td>s2</td><td>n</td><td>r</td><td>b</td><td>st</td><td>1</td><td>2</td><td>3</td><td>x</td></tr>"
@@ -77,7 +93,10 @@ def test_sinks_replace_their_run_only(spark, tmp_path):
     assert sinks.save_alert_log(df.limit(0), root, "r3") is None
     for kind in ("csv", "json", "html"):
         assert sinks.export_alerts(df, f"{root}/out_{kind}", kind)
-    assert spark.read.text(f"{root}/out_html").first().value == "<tr><td>1</td><td>a&lt;b</td><td>NaN</td></tr>"
+    parts = sorted(p for p in os.listdir(f"{root}/out_html") if p.startswith("part-"))
+    page = "".join(open(f"{root}/out_html/{p}").read() for p in parts).split("\n")
+    assert page[0].endswith("<tr style=\"text-align: right;\"><th>x</th><th>message</th><th>v</th></tr></thead><tbody>")
+    assert page[1:-1] == ["<tr><td>1</td><td>a&lt;b</td><td>NaN</td></tr>", "</tbody></table>"]
     assert not sinks.export_alerts(df, f"{root}/out_x", "xls") and not os.path.exists(f"{root}/out_x")
     weather = spark.createDataFrame([("a", 1.0, 2.0, 3.0)], "station_id string, rainfall_last_6h_mm double, rainfall_forecast_next_6h_mm double, rainfall_forecast_next_24h_mm double")
     sinks.append_snapshot(weather, f"{root}/weather", "forecast", at())
