@@ -32,12 +32,20 @@ def missing_as_null(df: DataFrame) -> DataFrame:
 
 
 def read_observations(spark: SparkSession, path: str, file_format: str = "csv") -> DataFrame:
-    """Observation files with the fixed layout; `observation_time` is added from the text."""
-    reader = spark.read.schema(OBSERVATION_TEXT)
+    """Observation files with the fixed columns; `observation_time` is added from the text.
+
+    Columns are found by their names in the header, in any order; absent ones are NULL, others are
+    left out, and text that is no number counts as missing."""
     if file_format == "csv":
-        reader = reader.option("header", True).option("nanValue", "nan")
-    rows = missing_as_null(reader.format(file_format).load(path))
-    return coerce_time(rows, "timestamp")
+        found = spark.read.option("header", True).csv(path)
+        columns = [
+            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in found.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in OBSERVATION_TEXT.fields
+        ]
+        rows = found.select(*columns)
+    else:
+        rows = spark.read.schema(OBSERVATION_TEXT).format(file_format).load(path)
+    return coerce_time(missing_as_null(rows), "timestamp")
 
 
 def newest_file(spark: SparkSession, pattern: str) -> str | None:

@@ -35,6 +35,14 @@ def test_csv_observations(spark, tmp_path):
     assert tables.newest_file(spark, f"{tmp_path}/*.csv") == newest
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "o.csv").write_text("timestamp,extra,danger_level,station_id,current_level\n2024-01-01T03:00:00,e,10,S1, 1.5\nbad,e,x,S2,nan\n")
+    rows = {r.station_id: r for r in tables.read_observations(spark, str(tmp_path / "o.csv")).collect()}
+    assert (rows["S1"].current_level, rows["S1"].danger_level, rows["S1"].warning_level) == (1.5, 10.0, None)
+    assert rows["S1"].observation_time == dt.datetime(2024, 1, 1, 3) and "extra" not in rows["S1"].asDict()
+    assert (rows["S2"].current_level, rows["S2"].danger_level, rows["S2"].observation_time) == (None, None, None)
+
+
 def test_each_csv_file_has_its_own_profile(spark, tmp_path):
     for name, text in {
         "a.csv": "x,y,z\n1,2,3\n\n4,5,6\n", "b.csv": 'p,"q,r"\n"a,b",2\n', "empty.csv": "", "blank.csv": "\n \n", "head.csv": "one,two",
