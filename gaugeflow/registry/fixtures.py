@@ -33,10 +33,10 @@ FROM events""",
 SELECT obs_seq, station_id, observation_time, current_level, warning_level, danger_level * 100e0 AS danger_level,
  highest_flood_level, trend FROM obs""",
     "weather": """
-SELECT c_custkey AS station_id, c_acctbal / 500e0 AS rainfall_last_6h_mm, c_acctbal / 300e0 AS rainfall_forecast_next_6h_mm,
- c_acctbal / 100e0 AS rainfall_forecast_next_24h_mm,
+SELECT c_custkey AS station_id, abs(c_acctbal) / 500e0 AS rainfall_last_6h_mm, abs(c_acctbal) / 300e0 AS rainfall_forecast_next_6h_mm,
+ abs(c_acctbal) / 100e0 AS rainfall_forecast_next_24h_mm,
  CASE WHEN c_custkey % 4 = 0 THEN TIMESTAMP '2024-01-30 18:00:00' ELSE TIMESTAMP '2024-01-30 23:00:00' END AS fetched_at
-FROM customer WHERE c_acctbal >= 0 AND c_custkey IN (SELECT user_id FROM events)""",
+FROM customer WHERE c_custkey IN (SELECT user_id FROM events)""",
     "weather_log": """
 SELECT user_id AS station_id, event_id AS log_id, value / 5e0 AS rainfall_last_6h_mm, value / 3e0 AS rainfall_forecast_next_6h_mm,
  value AS rainfall_forecast_next_24h_mm, ts AS fetched_at, CASE WHEN event_id % 3 = 0 THEN 'observed' ELSE 'forecast' END AS kind
