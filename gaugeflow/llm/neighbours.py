@@ -125,7 +125,13 @@ class Graph:
                 pool, like, done = (np.take_along_axis(v, keep, 1) for v in (pool, like, done))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows over a power of two of their largest component: no square overflows or vanishes, and cosines keep their bits."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True, initial=0.0))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
 
 
@@ -180,6 +186,7 @@ def _found_of(k: int):
 
 def _scored(own, q, k, graph, x, ids, ends) -> pa.RecordBatch:
     met = graph.search(_unit(q))
+    x, q = _scaled(x), _scaled(q)
     out: list[tuple[int, int, float]] = []
     length = np.sqrt((x * x).sum(1))
     for i, nodes in zip(range(len(q)), met):
