@@ -78,9 +78,9 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), size=1024, end=2)
 
 
-def held_out() -> F.Column:
+def held_out(key: str = "doc_id") -> F.Column:
     """Rows whose labels nothing is learned from; rows without an id are not among them."""
-    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 @query("op3_quality_classifier")
@@ -198,27 +198,34 @@ def substring_chains(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy_passages(table(spark, folder, "documents"), least=50, identity=0.8)
 
 
-SEGMENT = 256  # turns that are parsed together; a longer conversation is parsed in segments
+PIECE = 256  # turns that a row holds; the rows of a conversation are parsed as one text
 
 
-def raw_transcripts(turns: DataFrame) -> DataFrame:
+def raw_transcripts(turns: DataFrame, size: int = PIECE) -> DataFrame:
     """Conversations as raw text: most turns carry one of several markers, the others a blank line only."""
     drawn = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8))
     named = F.create_map(*(F.lit(x) for x in ("system", "System: ", "user", "User: ", "assistant", "Assistant: ")))
     other = F.create_map(*(F.lit(x) for x in ("system", "### System: ", "user", "Human: ", "assistant", "AI: ")))
     marker = F.when(drawn < 4, named[F.col("role")]).when(drawn < 7, other[F.col("role")]).otherwise("\n")
-    marked = turns.select("conv_id", F.floor(F.col("turn") / SEGMENT).alias("segment"), "turn", "role", F.concat(F.coalesce(marker, F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
-    held = marked.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("held"))
-    return held.select("conv_id", "segment", F.col("held.role").alias("roles"), F.col("held.text").alias("texts"), F.array_join("held.text", "\n").alias("text"))
+    marked = turns.select("conv_id", F.floor(F.col("turn") / size).alias("piece"), "turn", "role", F.concat(F.coalesce(marker, F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
+    held = marked.groupBy("conv_id", "piece").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("held"))
+    return held.select("conv_id", "piece", F.col("held.role").alias("roles"), F.col("held.text").alias("texts"), F.array_join("held.text", "\n").alias("text"))
 
 
 @query("op6_chat_formatting")
 def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
-    """Roles of all conversations' raw transcripts, from their text alone, and canonical turns."""
+    """Roles of all conversations' raw transcripts, from their text alone, and canonical turns, by a model
+    that three quarters of the conversations taught. rendered_sha256 digests the digests of the pieces."""
     raw = raw_transcripts(table(spark, folder, "conversations"))
-    model = fit_transcripts(raw)
-    parsed = parse_transcripts(raw.drop("texts"), model)
-    return parsed.select("conv_id", "segment", F.size("turns").cast("long").alias("n_turns"), F.col("turns.role").alias("found"), "roles", digest("rendered").alias("rendered_sha256"))
+    apart = held_out("conv_id")
+    parsed = parse_transcripts(raw.drop("texts"), fit_transcripts(raw.where(~apart), first="piece = 0"))
+    opened = F.transform(F.filter("turns", lambda t: t["opens"]), lambda t: t["role"])
+    each = parsed.select("conv_id", "piece", "roles", opened.alias("opened"), digest("rendered").alias("sha"), F.length("rendered").alias("chars"))
+    return each.groupBy("conv_id").agg(
+        F.sum(F.size("opened")).alias("n_turns"), F.sum(F.size("roles")).alias("n_given"),
+        F.bool_and(F.col("opened").eqNullSafe(F.col("roles"))).alias("roles_right"), F.sum("chars").alias("n_chars"),
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "sha"))), lambda x: x["sha"]), ""), 256).alias("rendered_sha256"),
+    ).withColumn("held_out", apart)
 
 
 @query("op13_document_fingerprints")

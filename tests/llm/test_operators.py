@@ -123,11 +123,6 @@ def test_quality_held_out(spark):
     assert auc >= 0.8
 
 
-def test_chat_roles(spark, folder):
-    rows = q.chat_formatting(spark, folder).collect()
-    assert rows and sum(r.found == r.roles for r in rows) >= 0.7 * len(rows)
-
-
 def test_near_dedup_edges(spark):
     rows = {r.doc_id: r for r in group_near_duplicates(documents(spark, [None, "", "", "Same words here", "same WORDS\there", PASSAGE, PASSAGE + " more"]), 4, 80).collect()}
     assert [rows[i].component_id for i in range(7)] == [0, 1, 2, 3, 3, 5, 5]
