@@ -33,6 +33,14 @@ def _(t: Tables):
     return html_tables.parse_station_pages(t.busy("scrape_page"))
 
 
+@query("nested_station_page_rows", "WITH " + PARSED.format(source="scrape_page") + ", found AS (" + STATION_ROWS + ") SELECT * FROM found UNION ALL SELECT * FROM found",
+       ["scrape_page"])
+def _(t: Tables):
+    """Station tables inside a cell of a layout table, whose rows they are too."""
+    page = F.concat(F.lit("<table><tr><td>menu<tr><td class='a>b'>"), "html", F.lit("<!-- <table> --></td></tr></table>"))
+    return html_tables.parse_station_pages(t.busy("scrape_page").withColumn("html", page))
+
+
 @query("forecast_feed_rows", """
 WITH listed AS (SELECT page_id, unnest(from_json(body, '[{"station_id":"VARCHAR","forecast_level":"DOUBLE","forecast_time":"VARCHAR","confidence":"DOUBLE"}]')) AS e
  FROM forecast_feed WHERE json_valid(body)),""" + PARSED.format(source="(SELECT page_id, body AS html FROM forecast_feed WHERE NOT json_valid(body))") + """

@@ -6,14 +6,20 @@ read whole, and only rows leave it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.schemas import FORECAST
 
-_TABLE = r"(?is)<table\b.*?</table\s*>"
-_ROW = r"(?is)<tr\b.*?(?=<(?:tr\b|/tr\s*>|/table\s*>))"
-_CELL = r"(?is)<td\b[^>]*>(.*?)(?=<(?:td\b|/td\s*>|/tr\s*>|tr\b)|\z)"
+# Comments, scripts and styles, tags with quoted attributes, declarations, text, lone brackets.
+_TOKEN = (r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*+>.*?(?:</\1\s*>|\z)"
+          r"|</?[a-z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[!?/][^>]*+>|[^<]++|<")
+_TAG = r"(?is)^</?(?:table|tr|td)(?![^\s/>])"
+_CLOSED = r"(?i)<(table|tr|td)(?:\s(?:[^<>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+)?/>"
+_MARKUP = r"(?s)^<[a-zA-Z/!?]"
+_NAMES = ("table", "tr", "td")
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _NOT_FINITE = r"(?i)^[+-]?(nan|inf|infinity)$"
 # Character references met in table cells.
@@ -23,13 +29,59 @@ _ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&
 _BLANKS = " \t\r\n\f\u000b\u00a0"
 
 
-def _cell_text(cell: Column) -> Column:
-    plain = F.when(F.contains(cell, F.lit("<")), F.regexp_replace(cell, r"<[^>]*>", "")).otherwise(cell)
-    text = plain
+def _plain(token: Column) -> Column:
+    """The text of a token: nothing for markup, characters for their references."""
+    text = token
     for name, char in _ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
-    text = F.when(F.contains(plain, F.lit("&")), text).otherwise(plain)
-    return F.trim(text, F.lit(_BLANKS))
+    text = F.when(F.contains(token, F.lit("&")), text).otherwise(token)
+    return F.when(token.rlike(_MARKUP), "").otherwise(text)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often lambdas inside refer to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_OPEN = "array<struct<rank:int,kind:int,start:int>>"
+_DONE = "array<struct<rank:int,kind:int,start:int,stop:int,until:int>>"
+_HEAP = 128  # closed elements are put by in heaps, as every step copies the array it adds to
+
+
+def _elements(tokens: Column) -> Column:
+    """rank, kind (1 to 3: table, tr, td), start, stop and until of every element, in order of their starts.
+
+    One pass with the open elements as a stack: an end tag closes the last open element of its name and all
+    inside it, one without an open element closes nothing, and the page's end closes the rest. start and
+    stop are the tags' places among the tokens; the elements inside have the ranks from rank + 1 to until."""
+
+    def kind(token: Column) -> Column:
+        name = F.lower(F.regexp_extract(token, r"^</?([a-zA-Z]+)", 1))
+        number = F.coalesce(*(F.when(name == n, F.lit(i + 1)) for i, n in enumerate(_NAMES)))
+        return F.when(token.rlike(_TAG), F.when(F.startswith(token, F.lit("</")), -number).otherwise(number)).otherwise(F.lit(0))
+
+    def closed(acc: Column, keep: Column, at: Column) -> Column:
+        """The state without the open elements after the first `keep`."""
+        gone = F.transform(F.slice(acc["open"], keep + 1, F.size(acc["open"])), lambda x: F.struct(
+            x["rank"].alias("rank"), x["kind"].alias("kind"), x["start"].alias("start"), at.alias("stop"), acc["n"].alias("until")))
+        filled = F.size(acc["done"]) >= _HEAP
+        return F.struct(
+            F.slice(acc["open"], F.lit(1), keep).alias("open"), F.when(filled, gone).otherwise(F.concat(acc["done"], gone)).alias("done"),
+            F.when(filled, F.concat(acc["heaps"], F.array(acc["done"]))).otherwise(acc["heaps"]).alias("heaps"), acc["n"].alias("n"))
+
+    def step(acc: Column, tag: Column) -> Column:
+        new = F.struct((acc["n"] + 1).alias("rank"), tag["kind"].alias("kind"), tag["at"].alias("start"))
+        opened = F.struct(F.concat(acc["open"], F.array(new)).alias("open"), acc["done"].alias("done"), acc["heaps"].alias("heaps"), (acc["n"] + 1).alias("n"))
+        back = F.array_position(F.reverse(F.transform(acc["open"], lambda x: x["kind"])), -tag["kind"]).cast("int")
+        return F.when(tag["kind"] > 0, opened).when(back == 0, acc).otherwise(closed(acc, F.size(acc["open"]) - back, tag["at"]))
+
+    tags = F.filter(F.transform(tokens, lambda t, i: F.struct(kind(t).alias("kind"), i.alias("at"))), lambda t: t["kind"] != 0)
+    start = F.struct(F.array().cast(_OPEN).alias("open"), F.array().cast(_DONE).alias("done"), F.array().cast(f"array<{_DONE}>").alias("heaps"), F.lit(0).alias("n"))
+
+    def finish(acc: Column) -> Column:
+        return _let(closed(acc, F.lit(0), F.size(tokens)), lambda x: F.array_sort(F.concat(F.flatten(x["heaps"]), x["done"])))
+
+    return F.aggregate(tags, start, step, finish)
 
 
 def _is_number(text: Column) -> Column:
@@ -41,11 +93,27 @@ def _number(text: Column) -> Column:
 
 
 def table_rows(pages: DataFrame, html: str = "html", ids: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """ids, table_no, row_no and the cell texts of every table row but each table's first."""
-    tables = pages.select(*ids, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(_TABLE), F.lit(0))).alias("table_no", "_t"))
-    rows = tables.select(*ids, "table_no", F.posexplode(F.regexp_extract_all(F.col("_t"), F.lit(_ROW), F.lit(0))).alias("row_no", "_r"))
-    cells = F.regexp_extract_all(F.col("_r"), F.lit(_CELL), F.lit(1))
-    return rows.filter("row_no > 0").select(*ids, "table_no", "row_no", F.transform(cells, _cell_text).alias("cells"))
+    """ids, table_no, row_no and the cell texts of every table row but each table's first.
+
+    Tables, rows and cells are elements of the page's tree: a table has the rows of tables nested in it too,
+    a row the cells of those, and a cell all text inside it. What has no end tag ends with what it is in.
+    Comments, scripts and styles hold nothing. Null pages have no rows."""
+
+    def inside(all_: Column, one: Column, kind: int) -> Column:
+        return F.filter(F.slice(all_, one["rank"] + 1, one["until"] - one["rank"]), lambda x: x["kind"] == kind)
+
+    def text(tokens: Column, one: Column) -> Column:
+        own = F.slice(tokens, one["start"] + 2, one["stop"] - one["start"] - 1)
+        return F.trim(F.array_join(F.transform(own, _plain), ""), F.lit(_BLANKS))
+
+    def tables(tokens: Column, all_: Column) -> Column:
+        return F.transform(F.filter(all_, lambda x: x["kind"] == 1), lambda t: F.transform(
+            inside(all_, t, 2), lambda r: F.transform(inside(all_, r, 3), lambda c: text(tokens, c))))
+
+    whole = F.regexp_replace(F.col(html), _CLOSED, "<$1></$1>")
+    found = _let(F.regexp_extract_all(whole, F.lit(_TOKEN), F.lit(0)), lambda tokens: _let(_elements(tokens), lambda all_: tables(tokens, all_)))
+    listed = pages.select(*ids, F.posexplode(F.when(F.col(html).rlike("(?i)<table"), found)).alias("table_no", "_t"))
+    return listed.select(*ids, "table_no", F.posexplode("_t").alias("row_no", "cells")).filter("row_no > 0")
 
 
 def parse_station_pages(pages: DataFrame, html: str = "html", ids: tuple[str, ...] = ("page_id",)) -> DataFrame:
