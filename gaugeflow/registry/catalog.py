@@ -101,8 +101,8 @@ def register_crowded(*names: str) -> None:
 
 def load_all() -> None:
     from gaugeflow.registry import (  # noqa: F401
-        alert_queries, cleaning_queries, document_queries, feature_queries, label_queries, model_queries, source_queries,
-        weather_queries,
+        alert_queries, cleaning_queries, document_queries, feature_queries, label_queries, model_queries, round_trip_queries,
+        source_queries, weather_queries,
     )
     register_crowded(
         "sensor_jumps", "interpolated_levels", "forward_filled_levels", "rate_of_rise", "rising_run_length", "historical_percentile",

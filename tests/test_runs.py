@@ -162,6 +162,8 @@ def test_full_run_writes_everything(spark, t, tmp_path):
     again = runs.full_run(t.obs, t.station_dim, None, at(), root, "r2", models=result.models)
     assert again.status.first().mode == "HYDRO-ONLY"
     assert spark.read.parquet(f"{root}/predictions").select("run_ts").distinct().count() == 2
+    assert sorted(r.run_ts for r in sinks.published_runs(spark, root).collect()) == ["r1", "r2"]
+    assert sinks.read_stage(spark, root, "predictions", "r1").count() == status.prediction_records
 
 
 def test_cycles_replay_and_failure(spark, t, fitted, tmp_path):
