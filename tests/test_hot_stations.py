@@ -88,3 +88,15 @@ def test_composite_features_hot_equals_usual(spark, skewed):
     usual = hydro.hydro_features(skewed, stations, hot=find_hot(skewed, limit=10_000))
     hot = hydro.hydro_features(skewed, stations, hot=find_hot(skewed, limit=60))
     assert collected(hot) == collected(usual)
+
+
+def test_no_more_slices_than_the_rows_need(skewed, monkeypatch):
+    """A low limit makes stations hot, but doesn't cut them into a slice for every few rows."""
+    from gaugeflow.operators import ordered
+
+    given, plain = [], ordered.slice_in_order
+    monkeypatch.setattr(ordered, "slice_in_order", lambda df, parts, *order: given.append(parts) or plain(df, parts, *order))
+    hot = find_hot(skewed, limit=100, slice_rows=10)
+    assert hot.count
+    hydro.trailing_percentile(skewed, days=5, hot=hot).count()
+    assert given and max(given) <= ordered.slices_for(skewed.sparkSession, 48 * hot.rows)
