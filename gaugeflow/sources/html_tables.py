@@ -1,25 +1,28 @@
 """Station and forecast rows from web pages held in a table (page id, text).
 
-Everything is an expression on the page text: pages spread over tasks, a page is
-read whole, and only rows leave it.
+Pages spread over tasks and go through them in Arrow batches; a page is read whole,
+and only rows leave it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from gaugeflow.schemas import FORECAST
-
-# Comments, scripts and styles, tags with quoted attributes, declarations, text, lone brackets.
-_TOKEN = (r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*+>.*?(?:</\1\s*>|\z)"
-          r"|</?[a-z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[!?/][^>]*+>|[^<]++|<")
-_TAG = r"(?is)^</?(?:table|tr|td)(?![^\s/>])"
-_CLOSED = r"(?i)<(table|tr|td)(?:\s(?:[^<>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+)?/>"
-_MARKUP = r"(?s)^<[a-zA-Z/!?]"
-_NAMES = ("table", "tr", "td")
+from gaugeflow.session import known_to_workers
+
+_ATTRIBUTES = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+# Text; tags of tables, rows and cells; comments, scripts and styles, other tags with quoted attributes, declarations; lone brackets.
+_TOKEN = re.compile(
+    rf"([^<]++)|<(/?)(table|tr|td)(?![^\s/>]){_ATTRIBUTES}>|<!--.*?(?:-->|\Z)|<(script|style)(?u:\b)[^>]*+>.*?(?:</\4\s*>|\Z)"
+    rf"|</?[a-z]{_ATTRIBUTES}>|<[!?/][^>]*+>|(<)", re.I | re.S | re.A)
+_CLOSED = re.compile(r"<(table|tr|td)(?:\s(?:[^<>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+)?/>", re.I | re.A)
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _NOT_FINITE = r"(?i)^[+-]?(nan|inf|infinity)$"
 # Character references met in table cells.
@@ -29,59 +32,86 @@ _ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&
 _BLANKS = " \t\r\n\f\u000b\u00a0"
 
 
-def _plain(token: Column) -> Column:
-    """The text of a token: nothing for markup, characters for their references."""
-    text = token
+def _plain(text: str) -> str:
+    """Characters for their references."""
     for name, char in _ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = F.when(F.contains(token, F.lit("&")), text).otherwise(token)
-    return F.when(token.rlike(_MARKUP), "").otherwise(text)
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is worked out once, however often lambdas inside refer to it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
+        text = text.replace(name, char)
+    return text
 
-_OPEN = "array<struct<rank:int,kind:int,start:int>>"
-_DONE = "array<struct<rank:int,kind:int,start:int,stop:int,until:int>>"
-_HEAP = 128  # closed elements are put by in heaps, as every step copies the array it adds to
 
-
-def _elements(tokens: Column) -> Column:
-    """rank, kind (1 to 3: table, tr, td), start, stop and until of every element, in order of their starts.
+def _page_tables(page: str) -> list[list[list[str]]]:
+    """The cell texts of all rows of all tables of a page, in order of their starts.
 
     One pass with the open elements as a stack: an end tag closes the last open element of its name and all
-    inside it, one without an open element closes nothing, and the page's end closes the rest. start and
-    stop are the tags' places among the tokens; the elements inside have the ranks from rank + 1 to until."""
-
-    def kind(token: Column) -> Column:
-        name = F.lower(F.regexp_extract(token, r"^</?([a-zA-Z]+)", 1))
-        number = F.coalesce(*(F.when(name == n, F.lit(i + 1)) for i, n in enumerate(_NAMES)))
-        return F.when(token.rlike(_TAG), F.when(F.startswith(token, F.lit("</")), -number).otherwise(number)).otherwise(F.lit(0))
-
-    def closed(acc: Column, keep: Column, at: Column) -> Column:
-        """The state without the open elements after the first `keep`."""
-        gone = F.transform(F.slice(acc["open"], keep + 1, F.size(acc["open"])), lambda x: F.struct(
-            x["rank"].alias("rank"), x["kind"].alias("kind"), x["start"].alias("start"), at.alias("stop"), acc["n"].alias("until")))
-        filled = F.size(acc["done"]) >= _HEAP
-        return F.struct(
-            F.slice(acc["open"], F.lit(1), keep).alias("open"), F.when(filled, gone).otherwise(F.concat(acc["done"], gone)).alias("done"),
-            F.when(filled, F.concat(acc["heaps"], F.array(acc["done"]))).otherwise(acc["heaps"]).alias("heaps"), acc["n"].alias("n"))
-
-    def step(acc: Column, tag: Column) -> Column:
-        new = F.struct((acc["n"] + 1).alias("rank"), tag["kind"].alias("kind"), tag["at"].alias("start"))
-        opened = F.struct(F.concat(acc["open"], F.array(new)).alias("open"), acc["done"].alias("done"), acc["heaps"].alias("heaps"), (acc["n"] + 1).alias("n"))
-        back = F.array_position(F.reverse(F.transform(acc["open"], lambda x: x["kind"])), -tag["kind"]).cast("int")
-        return F.when(tag["kind"] > 0, opened).when(back == 0, acc).otherwise(closed(acc, F.size(acc["open"]) - back, tag["at"]))
-
-    tags = F.filter(F.transform(tokens, lambda t, i: F.struct(kind(t).alias("kind"), i.alias("at"))), lambda t: t["kind"] != 0)
-    start = F.struct(F.array().cast(_OPEN).alias("open"), F.array().cast(_DONE).alias("done"), F.array().cast(f"array<{_DONE}>").alias("heaps"), F.lit(0).alias("n"))
-
-    def finish(acc: Column) -> Column:
-        return _let(closed(acc, F.lit(0), F.size(tokens)), lambda x: F.array_sort(F.concat(F.flatten(x["heaps"]), x["done"])))
-
-    return F.aggregate(tags, start, step, finish)
+    inside it, one without an open element closes nothing, and the page's end closes the rest."""
+    tables: list = []
+    stack: list[tuple] = []  # the name of an open element, where it adds what it holds, the texts before it
+    open_tables: list[list] = []
+    open_rows: list[list] = []
+    texts: list[str] = []  # all texts of the page; a cell holds those from its start to its end
+    whole = _CLOSED.sub(r"<\1></\1>", page) if "/>" in page else page
+    for text, slash, name, _, bracket in _TOKEN.findall(whole):
+        if not name:
+            if open_rows and (text or bracket):
+                texts.append(_plain(text) if "&" in text else text or bracket)
+            continue
+        name = name.lower()
+        if not slash:
+            if name == "table":
+                tables.append([])
+                open_tables.append(tables[-1])
+            elif name == "tr":
+                row: list = []
+                for table in open_tables:
+                    table.append(row)
+                open_rows.append(row)
+            else:
+                for row in open_rows:
+                    row.append(None)
+            stack.append((name, [(row, len(row) - 1) for row in open_rows] if name == "td" else (), len(texts)))
+        elif stack and stack[-1][0] == name:
+            _close(stack, open_tables, open_rows, texts)
+        elif any(name == x[0] for x in stack):
+            while _close(stack, open_tables, open_rows, texts) != name:
+                pass
+    while stack:
+        _close(stack, open_tables, open_rows, texts)
+    return tables
+
+
+def _close(stack: list[tuple], open_tables: list, open_rows: list, texts: list[str]) -> str:
+    """Close the last open element and return its name."""
+    name, places, begin = stack.pop()
+    if name == "table":
+        open_tables.pop()
+    elif name == "tr":
+        open_rows.pop()
+    elif places:
+        text = "".join(texts[begin:]).strip(_BLANKS)
+        for row, place in places:
+            row[place] = text
+    return name
+
+
+def _rows_of(ids: tuple[str, ...], names: list[str]):
+    """Arrow batches of ids and _page (UTF-8 bytes) to batches of ids, table_no, row_no and cells."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages in batches:
+            at, table_no, row_no, cells = [], [], [], []
+            for i, page in enumerate(pages.column("_page").to_pylist()):
+                for t, rows in enumerate(_page_tables(page.decode("utf-8", "replace"))):
+                    for r in range(1, len(rows)):
+                        at.append(i)
+                        table_no.append(t)
+                        row_no.append(r)
+                        cells.append(rows[r])
+            take = pa.array(at, pa.int64())
+            found = [pages.column(c).take(take) for c in ids]
+            found += [pa.array(table_no, pa.int32()), pa.array(row_no, pa.int32()), pa.array(cells, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(found, names=names)
+
+    return work
 
 
 def _is_number(text: Column) -> Column:
@@ -99,21 +129,12 @@ def table_rows(pages: DataFrame, html: str = "html", ids: tuple[str, ...] = ("pa
     a row the cells of those, and a cell all text inside it. What has no end tag ends with what it is in.
     Comments, scripts and styles hold nothing. Null pages have no rows."""
 
-    def inside(all_: Column, one: Column, kind: int) -> Column:
-        return F.filter(F.slice(all_, one["rank"] + 1, one["until"] - one["rank"]), lambda x: x["kind"] == kind)
-
-    def text(tokens: Column, one: Column) -> Column:
-        own = F.slice(tokens, one["start"] + 2, one["stop"] - one["start"] - 1)
-        return F.trim(F.array_join(F.transform(own, _plain), ""), F.lit(_BLANKS))
-
-    def tables(tokens: Column, all_: Column) -> Column:
-        return F.transform(F.filter(all_, lambda x: x["kind"] == 1), lambda t: F.transform(
-            inside(all_, t, 2), lambda r: F.transform(inside(all_, r, 3), lambda c: text(tokens, c))))
-
-    whole = F.regexp_replace(F.col(html), _CLOSED, "<$1></$1>")
-    found = _let(F.regexp_extract_all(whole, F.lit(_TOKEN), F.lit(0)), lambda tokens: _let(_elements(tokens), lambda all_: tables(tokens, all_)))
-    listed = pages.select(*ids, F.posexplode(F.when(F.col(html).rlike("(?i)<table"), found)).alias("table_no", "_t"))
-    return listed.select(*ids, "table_no", F.posexplode("_t").alias("row_no", "cells")).filter("row_no > 0")
+    known_to_workers(pages.sparkSession)
+    own = pages.select(*ids)
+    names = [*ids, "table_no", "row_no", "cells"]
+    types = StructType([*own.schema.fields, *(StructField(n, t) for n, t in zip(names[len(ids):], (IntegerType(), IntegerType(), ArrayType(StringType()))))])
+    held = pages.filter(F.col(html).rlike("(?i)<table")).select(*ids, F.col(html).cast("binary").alias("_page"))
+    return held.mapInArrow(_rows_of(ids, names), types)
 
 
 def parse_station_pages(pages: DataFrame, html: str = "html", ids: tuple[str, ...] = ("page_id",)) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 from html.parser import HTMLParser
 
-from gaugeflow.sources import html_tables
+from gaugeflow.sources import html_tables, tables
 
 VOID = {"br", "img", "hr", "input", "meta", "link"}
 
@@ -81,3 +81,18 @@ def test_long_page(spark):
     page = "<table>" + row * 300 + "<tr><td>" + "long " * 300_000 + "</table>"
     (got,) = [v for k, v in rows_of(spark, [page]).items() if k == 0]
     assert len(got) == 300 and got[0][2] == [str(i) for i in range(10)] and len(got[-1][2][0]) == 5 * 300_000 - 1
+
+
+def test_a_task_gets_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    """The longest task doesn't grow with the input, also when there is one file only."""
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    assert tables.spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(tables, "TASK_ROWS", 100, raising=False)
+    assert tables.spread(rows).rdd.getNumPartitions() == 10
+
+
+def test_bytes_that_are_no_text_are_read_as_marks(spark):
+    page = "concat('<table><tr><tr><td>a', unhex('FF'), 'b<td>&lt;</table>')"
+    read = html_tables.table_rows(spark.range(1).selectExpr("id AS page_id", f"CAST({page} AS STRING) AS html"))
+    assert [r.cells for r in read.collect()] == [["a\ufffdb", "<"]]
