@@ -193,3 +193,21 @@ def test_cycles_replay_and_failure(spark, t, fitted, tmp_path):
     broken = CyclePlan(f"{root}/bad", f"{root}/models", t.station_dim.drop("basin", "station_id"), None)
     start_cycles(spark, f"{root}/in", obs.schema, broken, f"{root}/ckpt3").awaitTermination()
     assert spark.read.parquet(f"{root}/bad/failures").first().status == "failed"
+
+
+def test_alerts_and_documents_score_each_row_once(spark):
+    """Later expressions and filters must not hold copies of the models' functions."""
+    from gaugeflow.operators import scoring as S
+
+    features = spark.range(400).select(
+        F.col("id").alias("obs_seq"), (F.col("id") % 9).alias("station_id"), F.timestamp_seconds(F.col("id") * 3600).alias("observation_time"),
+        *[((F.col("id") * (i + 3)) % 17 / 2.0).alias(c) for i, c in enumerate(FEATURES)])
+    rows = features.withColumns({
+        "risk_score": F.col("obs_seq") % 5 / 4.0, "warning_label": (F.col("obs_seq") % 2).cast("int"),
+        "risk_tier": (F.col("obs_seq") % 3).cast("int"), "split": F.lit("train")})
+    models = T.fit_models(rows, T.Settings(trees=2, depth=2, leaf_rows=1))
+    predictions, alerts = runs.inference_run(features, models, None, F.lit("2024-01-31").cast("timestamp"))
+    plan = alerts._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF(" not in plan
+    expected = {r.obs_seq: (r.risk_score, r.risk_tier) for r in S.score_all(features, models).collect()}
+    assert {r.obs_seq: (r.risk_score, r.risk_tier) for r in predictions.collect()} == expected
