@@ -211,3 +211,25 @@ def test_alerts_and_documents_score_each_row_once(spark):
     assert "UDF(" not in plan
     expected = {r.obs_seq: (r.risk_score, r.risk_tier) for r in S.score_all(features, models).collect()}
     assert {r.obs_seq: (r.risk_score, r.risk_tier) for r in predictions.collect()} == expected
+
+
+def test_training_rows_are_dealt_evenly_and_in_one_order(spark, monkeypatch):
+    """Unlike partitions, as files leave them, would hold up every job of every tree."""
+    from pyspark.ml.feature import VectorAssembler
+
+    monkeypatch.setattr(T, "PARTITION_ROWS", 100)
+    monkeypatch.setattr(T, "TASK_ROWS", 500)
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(900 * cores).select(
+        (F.col("id") % 50).alias("station_id"), F.col("id").alias("obs_seq"), (F.col("id") % 7 / 7.0).alias("x"),
+        (F.col("id") % 5 / 4.0).alias("risk_score"), (F.col("id") % 2).cast("int").alias("warning_label"), (F.col("id") % 3).cast("int").alias("risk_tier"))
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows).drop("x")
+    uneven = rows.filter("obs_seq < 10").coalesce(1).union(rows.filter("obs_seq >= 10").coalesce(1))
+    dealt = T._dealt(uneven, 900 * cores, ["station_id", "obs_seq"])
+    assert set(dealt.columns) == {"features", "risk_score", "warning_label", "risk_tier"}
+    held = dealt.rdd.glom().map(lambda part: [(r.features[0], r.risk_score, r.risk_tier) for r in part]).collect()
+    assert len(held) == 2 * cores and sum(map(len, held)) == 900 * cores
+    assert max(map(len, held)) < 1.5 * 450
+    assert held == T._dealt(rows.repartition(3), 900 * cores, ["station_id", "obs_seq"]).rdd.glom().map(
+        lambda part: [(r.features[0], r.risk_score, r.risk_tier) for r in part]).collect()
+    assert T._dealt(uneven, 100, ["station_id", "obs_seq"]).rdd.getNumPartitions() == 1
