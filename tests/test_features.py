@@ -157,3 +157,13 @@ def test_text_rounds_like_exact_binary_half_even(spark):
         assert [r[0] for r in df.select(rounded(F.col("v"), digits)).collect()] == [round(v, digits) for v in values]
     for digits in (0, 1):
         assert [r[0] for r in df.select(percent(F.col("v"), digits)).collect()] == [f"{v:.{digits}%}" for v in values]
+
+
+def test_scaling_reads_one_row_of_ends(spark):
+    rows = [(1, -1.0, 3.0, 0.0, None), (2, 1.0, 3.001, -2.0, None), (3, None, float("nan"), -2.0, None)]
+    scaled = W.normalize_columns(spark.createDataFrame(rows, "id int, a double, b double, c double, d double"), ["a", "b", "c", "d", "none"])
+    found = {r.id: tuple(r)[1:] for r in scaled.select("id", "a", "c", "d").collect()}
+    assert found == {1: (0.0, 1.0, 0.0), 2: (1.0, 0.0, 0.0), 3: (None, 0.0, 0.0)}
+    flat = W.normalize_columns(spark.createDataFrame([(4.0,), (4.005,)], "a double"), ["a"])
+    assert sorted(r.a for r in flat.collect()) == [4.0 / 4.005, 1.0]
+    assert "subquery" not in scaled._jdf.queryExecution().toString().lower()
